@@ -62,7 +62,7 @@ def sample(docs: DataFrame, goals: DataFrame, seed: int = 1) -> DataFrame:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     d = d.withColumns({"whole": F.floor(ratio), "p": ratio - F.floor(ratio), "u": u})
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    d = d.withColumns({"rank": F.when(F.col("p") > 0, q / (1 + q)), "left": F.col("target") - F.col("whole") * F.col("source_size")})
+    d = d.withColumns({"rank": F.when(F.col("p") > 0, q / (1 + q)), "left": F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")})
     fine = F.least(F.floor(F.col("rank") * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
     d = cut(d.withColumns({"bin": F.floor(fine / BINS), "sub": F.pmod(fine, F.lit(BINS))}))
     ranked = d.filter("rank is not null")
@@ -82,7 +82,6 @@ def sample(docs: DataFrame, goals: DataFrame, seed: int = 1) -> DataFrame:
     final = inner.alias("r").join(F.broadcast(two).alias("o") if _few(one) else two.alias("o"), same("r", "o", "bin", "sub")).select("r.*", (F.col("r.left") - F.col("o.before")).alias("gap"))
     w = Window.partitionBy("source").orderBy("rank", "size", "doc_id")
     final = final.withColumn("cum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    stop = final.filter("cum > gap").groupBy("source").agg(F.min(F.struct("rank", "size", "doc_id")).alias("at"), F.min(F.col("gap") - F.col("cum") + F.col("size")).alias("g0"), F.max(F.struct("cum", F.col("gap").alias("g"))).alias("x"))
     first = F.min(F.struct(F.col("cum"), (F.col("gap") - (F.col("cum") - F.col("size"))).alias("rest")))
     stop = final.filter("cum > gap").groupBy("source").agg(F.min(F.struct("rank", "size", "doc_id")).alias("at"), first.alias("f")).select("source", "at.rank", F.col("at.size").alias("stop_size"), F.col("at.doc_id").alias("stop_id"), F.col("f.rest").alias("rest"))
     stop = cut(stop.withColumnRenamed("rank", "stop_rank"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, embeddings, html, media, minhash, mixing, secrets, toxicity
+
+#: The vocabulary of op2; every executor has the package at its own path.
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +23,65 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+ORACLE["op1_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM sizes
+), filled AS (
+  SELECT *, coalesce(sum(source_size) OVER w, 0) AS cum_size, coalesce(sum(weight) OVER w, 0) AS cum_weight,
+    sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight
+  FROM weighed WINDOW w AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT *, (1.5::DOUBLE * all_size - 2.0::DOUBLE * cum_size) / (all_weight - cum_weight) AS l FROM filled
+), level2 AS (
+  SELECT source, source_size, weight, min(CASE WHEN weight * l < 2.0::DOUBLE * source_size THEN l END) OVER () AS l FROM level
+), goals AS (
+  SELECT source, source_size, coalesce(least(weight * l, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target FROM level2
+), wanted AS (
+  SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS ratio,
+    (('0x' || substr(md5('1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+), odds AS (
+  SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS p,
+    CASE WHEN ratio - floor(ratio) > 0 THEN (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) END AS q FROM wanted
+), ranked AS (
+  SELECT *, q / (1 + q) AS rank, CAST(floor(target - whole * source_size) AS BIGINT) AS remain FROM odds
+), running AS (
+  SELECT *, CASE WHEN p > 0 THEN sum(size) OVER (PARTITION BY source, p > 0 ORDER BY rank, size, doc_id ROWS UNBOUNDED PRECEDING) END AS cum FROM ranked
+), stops AS (SELECT source, max(CASE WHEN cum <= remain THEN cum ELSE 0 END) AS held, max(remain) AS remain FROM running WHERE p > 0 GROUP BY source),
+best AS (
+  SELECT source, doc_id, size, rank, row_number() OVER (PARTITION BY r.source ORDER BY abs(size - (s.remain - s.held)), rank, size, doc_id) AS n,
+    abs(size - (s.remain - s.held)) < s.remain - s.held AS better
+  FROM running r JOIN stops s USING (source) WHERE r.cum > s.remain
+)
+SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * (r.whole + x.e) AS BIGINT) AS taken, CAST(r.whole + x.e AS BIGINT) AS copies
+FROM running r LEFT JOIN (SELECT * FROM best WHERE n = 1 AND better) b ON r.source = b.source AND r.doc_id = b.doc_id AND r.p > 0,
+LATERAL (SELECT CASE WHEN r.p > 0 AND (r.cum <= r.remain OR b.doc_id IS NOT NULL) THEN 1 ELSE 0 END AS e) x
+"""
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 @query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, similarity=80)
@@ -29,7 +92,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) < 2 THEN list_distinct(w)
-    ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM words
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
 ), sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
 shingles AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
 pairs AS (
@@ -41,3 +104,19 @@ reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b,
 SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, min(r.root) AS component_id, s.doc_id = min(r.root) AS kept
 FROM sized s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.n
 """
+
+
+@query
+def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
