@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, html, media, minhash, mixing, secrets, toxicity
+from . import bpe, embeddings, html, media, minhash, mixing, pii, quality, secrets, toxicity
 
 #: The vocabulary of op2; every executor has the package at its own path.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -120,3 +120,17 @@ def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+#: Key of op7's replacements; a production run passes its own secret.
+PII_KEY = "op7-surrogates"
+
+
+@query
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query
+def op9_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import doc_columns, keep_columns, text_or_empty
 
@@ -14,6 +15,7 @@ from .common import doc_columns, keep_columns, text_or_empty
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")  # greedy runs, so the same as runs of any length of which 32 and more are kept
+SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("novelty", T.IntegerType())])
 KINDS = ("assign", "access", "hex", "novel")
 
 #: Words after which, within REACH bytes, a string may be a secret.
@@ -95,7 +97,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     scanned whole, one row for each row, without a shuffle.
     """
     d = docs.select(F.col(f"`{keep[0]}`"), F.col(f"`{text}`"), *(F.col(f"`{c}`") for c in keep[1:]))
-    return d.mapInArrow(_run, d.schema.add("spans", "array<struct<kind:string,start:bigint,end:bigint,novelty:int>>"))
+    return d.mapInArrow(_run, T.StructType([*d.schema.fields, T.StructField("spans", T.ArrayType(SPAN))]))
 
 
 def digest(spans, base_only: bool):
@@ -103,10 +105,14 @@ def digest(spans, base_only: bool):
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _of(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans) for docs(doc_id, text)."""
     s = scan(doc_columns(docs, "doc_id", "text"))
-    n = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    n = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return s.select("doc_id", *n, F.sha2(digest(F.col("spans"), True), 256).alias("base_sha256"), digest(F.col("spans"), False).alias("spans"))
 
 
