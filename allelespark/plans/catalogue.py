@@ -2,5 +2,382 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..functions.solver import truncated_normal
+from ..operators import fit, harmonize, metrics, ranges, score, stats
+from .adapter import WITH, tables
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+WINDOW = 12_500
+ALPHA, L1 = 0.01, 0.5
+
+# Common table expressions of the oracles, after the views'.
+NORM = "CASE WHEN regexp_replace(upper({0}), '^CHR', '') = 'MT' THEN 'M' ELSE regexp_replace(upper({0}), '^CHR', '') END"
+META = f"m AS (SELECT variant_idx, variant_id, {NORM.format('chromosome')} AS chromosome, position, ref_allele, alt_allele FROM panel_meta)"
+KEYS = f"""k AS (SELECT DISTINCT CASE WHEN id LIKE 'rs%' THEN lower(id) ELSE {NORM.format("split_part(id, ':', 1)")} || ':' || split_part(id, ':', 2) END AS key FROM platform),
+part AS (SELECT p.*, {NORM.format('p.chromosome')} || ':' || CAST(p.position AS VARCHAR) AS locus FROM prs p),
+matched AS (SELECT p.*, CASE WHEN lower(variant_id) IN (SELECT key FROM k) THEN 'rsid' WHEN locus IN (SELECT key FROM k) THEN 'chrpos' END AS matched_by FROM part p)"""
+RESOLVED = f"""cand AS (
+  SELECT p.prs_row, p.variant_id, p.effect_allele e, p.other_allele o, p.beta, r.variant_idx, r.ref_allele ref, r.alt_allele alt,
+    CASE WHEN length(p.effect_allele) = 1 THEN translate(p.effect_allele, 'ACGT', 'TGCA') ELSE p.effect_allele END AS ce,
+    CASE WHEN length(p.other_allele) = 1 THEN translate(p.other_allele, 'ACGT', 'TGCA') ELSE p.other_allele END AS co
+  FROM prs p LEFT JOIN panel_meta r ON {NORM.format('p.chromosome')} = {NORM.format('r.chromosome')} AND p.position = r.position
+), resolved AS (
+  SELECT prs_row, variant_id, beta,
+    CASE WHEN variant_idx IS NULL THEN 'absent' WHEN e = alt AND (o = ref OR o IS NULL) THEN 'direct' WHEN e = ref AND (o = alt OR o IS NULL) THEN 'flip'
+      WHEN ce = alt AND (co = ref OR co IS NULL) THEN 'complement' WHEN ce = ref AND (co = alt OR co IS NULL) THEN 'complement_flip' ELSE 'allele_mismatch' END AS way, variant_idx AS v
+  FROM cand
+), oriented AS (SELECT prs_row, variant_id, beta, way, CASE WHEN way IN ('absent', 'allele_mismatch') THEN NULL ELSE v END AS variant_idx, way IN ('flip', 'complement_flip') AS flip FROM resolved)"""
+PAIRS = f"""{META},
+pairs AS (SELECT t.variant_idx AS target_idx, p.variant_idx AS predictor_idx, abs(t.position - p.position) AS distance
+  FROM m t JOIN m p ON t.chromosome = p.chromosome AND t.variant_idx <> p.variant_idx AND abs(t.position - p.position) <= {WINDOW}
+  WHERE t.variant_idx % 3 = 2 AND p.variant_idx % 3 <> 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target_idx ORDER BY distance, predictor_idx) AS rank FROM pairs)"""
+FULL = """mean AS (SELECT variant_idx, coalesce(avg(dosage), 0) AS mean FROM dosages GROUP BY variant_idx),
+filled AS (SELECT d.sample_idx, d.variant_idx, coalesce(CAST(d.dosage AS DOUBLE), mean) AS dosage FROM dosages d JOIN mean USING (variant_idx))"""
+SINGLE = f"""{PAIRS}, {FULL},
+mom AS (SELECT variant_idx, sum(dosage) AS s, sum(dosage * dosage) AS q FROM filled GROUP BY variant_idx),
+xp AS (SELECT r.target_idx, r.predictor_idx, count(*) AS n, sum(y.dosage * z.dosage) AS product FROM ranked r JOIN filled y ON y.variant_idx = r.target_idx
+  JOIN filled z ON z.variant_idx = r.predictor_idx AND z.sample_idx = y.sample_idx WHERE r.rank = 1 GROUP BY ALL),
+st AS (SELECT xp.*, y.s AS ys, y.q AS yq, z.s AS zs, z.q AS zq, sqrt(greatest(z.q / n - pow(z.s / n, 2), 0.0)) AS sd
+  FROM xp JOIN mom y ON y.variant_idx = target_idx JOIN mom z ON z.variant_idx = predictor_idx),
+gc AS (SELECT *, (zq - zs * zs / n) / (sd * sd) AS g, (product - zs * ys / n) / sd AS c, yq - ys * ys / n AS yc FROM st),
+w AS (SELECT *, sign(c) * greatest(abs(c) - {{l1}} * n, 0.0) / (g + {{l2}} * n) AS w FROM gc),
+single AS (SELECT target_idx, predictor_idx, w / sd AS coefficient, ys / n - w / sd * zs / n AS intercept, 1 - (yc - 2 * w * c + w * w * g) / yc AS r2 FROM w)"""
+ENET = SINGLE.format(l1=ALPHA * L1, l2=ALPHA * (1 - L1))
+TRUE = """truth AS (SELECT d.sample_idx, sum(coalesce(CASE WHEN flip THEN 2 - dosage ELSE dosage END * beta, 0)) AS score, count(dosage) AS n_used
+  FROM dosages d JOIN oriented o ON d.variant_idx = o.variant_idx GROUP BY d.sample_idx)"""
+PREDICTED = f"""{ENET}, predicted AS (
+  SELECT f.sample_idx, sum(greatest(0.0, least(2.0, f.dosage * coefficient + intercept)) * (variant_idx_t * 37 % 41 - 20) / 100.0) AS score
+  FROM (SELECT *, target_idx AS variant_idx_t FROM single) s JOIN filled f ON f.variant_idx = s.predictor_idx GROUP BY f.sample_idx),
+actual AS (SELECT sample_idx, sum(dosage * (variant_idx * 37 % 41 - 20) / 100.0) AS score FROM filled WHERE variant_idx IN (SELECT target_idx FROM single) GROUP BY sample_idx),
+scores AS (SELECT sample_idx, round(a.score, 9) AS truth, round(p.score, 9) AS estimate FROM actual a JOIN predicted p USING (sample_idx))"""
+
+
+def query(sql: str | None = None, *parts: str):
+    """Registers a query under its function's name and its oracle: the views, then parts, then sql."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f({k: v for k, v in tables(spark, sf_dir).items()})
+        if sql is not None:
+            ORACLE[f.__name__] = ",\n".join([WITH, *parts]) + "\n" + sql
+        return f
+
+    return add
+
+
+def _panel(t) -> DataFrame:
+    return t["panel_meta"].withColumn("chromosome", X.normalize_chromosome(F.col("chromosome")))
+
+
+def _pairs(t) -> DataFrame:
+    p = _panel(t)
+    return ranges.window_pairs(p.filter("variant_idx % 3 = 2"), p.filter("variant_idx % 3 <> 2"), WINDOW)
+
+
+def _single(t) -> DataFrame:
+    return stats.single_predictor_fits(stats.imputed(t["dosages"]), ranges.nearest(_pairs(t), 1), ALPHA, L1)
+
+
+def _scores(t) -> DataFrame:
+    beta = F.expr("(target_idx * 37 % 41 - 20) / 100.0D")
+    full = stats.imputed(t["dosages"])
+    est = score.panel_imputed_score(full, _single(t).withColumn("beta", beta)).withColumnRenamed("score", "estimate")
+    terms = _single(t).select(F.col("target_idx").alias("variant_idx"), F.lit(False).alias("flip"), beta.alias("beta"))
+    true = score.panel_score(full, terms).select("sample_idx", F.col("score").alias("truth"))
+    return true.join(est, "sample_idx").select("sample_idx", F.round("truth", 9).alias("truth"), F.round("estimate", 9).alias("estimate"))
+
+
+def _rounded(df: DataFrame, *cols: str, to: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, to) for c in cols})
+
+
+@query(f"SELECT variant_id, {NORM.format('chromosome')} AS chromosome, CASE chromosome WHEN '1' THEN 1 WHEN 'chr2' THEN 2 ELSE 25 END AS place, {NORM.format('chromosome')} || ':' || CAST(position AS VARCHAR) AS locus FROM panel_meta")
+def normalize_variants(t):
+    c = X.normalize_chromosome(F.col("chromosome"))
+    return t["panel_meta"].select("variant_id", c.alias("chromosome"), X.chromosome_order(c).alias("place"), X.locus_key(F.col("chromosome"), F.col("position")).alias("locus"))
+
+
+@query("""SELECT variant_id, CASE WHEN length(effect_allele) = 1 THEN translate(effect_allele, 'ACGT', 'TGCA') ELSE effect_allele END AS other_strand,
+  coalesce(least(effect_allele, other_allele) || greatest(effect_allele, other_allele) IN ('AT', 'CG') AND other_allele IS NOT NULL, false) AS ambiguous, coalesce(regexp_full_match(other_allele, '[ACGT]+'), false) AS valid_other FROM prs""")
+def complement_ambiguous(t):
+    e, o = F.col("effect_allele"), F.col("other_allele")
+    return t["prs"].select("variant_id", X.complement(e).alias("other_strand"), X.is_ambiguous(e, o).alias("ambiguous"), X.is_allele(o).alias("valid_other"))
+
+
+DIRTY = "dirty AS (SELECT * FROM prs UNION ALL SELECT prs_row + 1000, variant_id, chromosome, position, effect_allele, other_allele, beta + CASE WHEN prs_row % 15 = 0 THEN 0.5 ELSE 0 END FROM prs WHERE prs_row % 5 = 0)"
+
+
+@query("""SELECT prs_row, variant_id, beta FROM (SELECT *, min(beta) OVER w AS low, max(beta) OVER w AS high, row_number() OVER (w ORDER BY prs_row) AS rn FROM dirty
+  WINDOW w AS (PARTITION BY variant_id, chromosome, position, effect_allele, other_allele)) WHERE low = high AND rn = 1""", DIRTY)
+def score_dedup_conflicts(t):
+    p = t["prs"]
+    again = p.filter("prs_row % 5 = 0").withColumns({"prs_row": F.col("prs_row") + 1000, "beta": F.col("beta") + F.when(F.col("prs_row") % 15 == 0, 0.5).otherwise(0.0)})
+    return harmonize.dedup_score(p.unionByName(again)).select("prs_row", "variant_id", "beta")
+
+
+@query("""SELECT coalesce(CASE WHEN prs_row % 10 = 0 THEN 'id' WHEN prs_row % 10 = 1 THEN 'chromosome' WHEN prs_row % 10 = 2 THEN 'position' WHEN prs_row % 10 = 5 THEN 'beta' WHEN prs_row % 20 = 6 THEN 'effect_allele' END, 'kept') AS reason, CAST(count(*) AS BIGINT) AS n FROM prs GROUP BY 1""")
+def score_drop_counts(t):
+    k = F.col("prs_row") % 10
+    raw = t["prs"].withColumns({
+        "variant_id": F.when(k != 0, F.col("variant_id")), "chromosome": F.when(k == 1, "nan").otherwise(F.col("chromosome")), "position": F.when(k == 2, "x1").otherwise(F.col("position").cast("string")),
+        "beta": F.when(k == 5, "?").otherwise(F.col("beta").cast("string")), "effect_allele": F.when(F.col("prs_row") % 20 == 6, "N").otherwise(F.col("effect_allele")),
+    })
+    return harmonize.clean_score(raw).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").cast("long").alias("n"))
+
+
+@query(f"SELECT id, CASE WHEN id LIKE 'rs%' THEN 'rsid' ELSE 'chrpos' END AS kind, CASE WHEN id LIKE 'rs%' THEN lower(id) ELSE {NORM.format("split_part(id, ':', 1)")} || ':' || split_part(id, ':', 2) END AS key FROM platform")
+def platform_filter_ids(t):
+    return t["platform"].select("id", X.id_kind(F.col("id")).alias("kind"), X.id_key(F.col("id")).alias("key"))
+
+
+@query("SELECT prs_row, variant_id, matched_by FROM matched", KEYS)
+def partition_observed_missing(t):
+    return harmonize.partition_by_platform(t["prs"], t["platform"]).select("prs_row", "variant_id", "matched_by")
+
+
+@query("SELECT coalesce(matched_by, 'missing') AS matched_by, CAST(count(*) AS BIGINT) AS n FROM matched GROUP BY 1", KEYS)
+def partition_counts(t):
+    return harmonize.partition_by_platform(t["prs"], t["platform"]).groupBy(F.coalesce("matched_by", F.lit("missing")).alias("matched_by")).agg(F.count("*").cast("long").alias("n"))
+
+
+@query("SELECT prs_row, way, variant_idx FROM oriented", RESOLVED)
+def resolve_alleles(t):
+    return harmonize.resolve_alleles(t["prs"], t["panel_meta"]).select("prs_row", "way", "variant_idx")
+
+
+@query("SELECT prs_row, CASE way WHEN 'absent' THEN 'not_in_reference' ELSE way END AS reason FROM oriented WHERE variant_idx IS NULL", RESOLVED)
+def drop_reasons(t):
+    return harmonize.drop_reasons(t["prs"], t["panel_meta"])
+
+
+@query("""SELECT m.prs_row, m.variant_id, CASE WHEN matched_by IS NOT NULL THEN 'observed' WHEN o.variant_idx IS NULL THEN 'dropped' ELSE 'imputed' END AS status,
+  CASE WHEN matched_by IS NULL AND o.variant_idx IS NULL THEN CASE way WHEN 'absent' THEN 'not_in_reference' ELSE way END END AS reason FROM matched m JOIN oriented o USING (prs_row)""", KEYS, RESOLVED)
+def variant_dispositions(t):
+    return harmonize.dispositions(t["prs"], t["platform"], t["panel_meta"])
+
+
+@query("""SELECT CASE WHEN matched_by IS NOT NULL THEN 'observed' WHEN o.variant_idx IS NULL THEN CASE way WHEN 'absent' THEN 'not_in_reference' ELSE way END ELSE 'imputed' END AS outcome, CAST(count(*) AS BIGINT) AS n
+  FROM matched m JOIN oriented o USING (prs_row) GROUP BY 1""", KEYS, RESOLVED)
+def dropped_by_reason(t):
+    d = harmonize.dispositions(t["prs"], t["platform"], t["panel_meta"])
+    return d.groupBy(F.coalesce("reason", "status").alias("outcome")).agg(F.count("*").cast("long").alias("n"))
+
+
+@query("SELECT variant_idx, CAST(count(dosage) AS BIGINT) AS n_called, round(avg(dosage) / 2, 9) AS allele_frequency, round(2 * (avg(dosage) / 2) * (1 - avg(dosage) / 2), 9) AS hwe_variance FROM dosages GROUP BY variant_idx")
+def allele_frequency_maf(t):
+    return _rounded(stats.allele_frequency(t["dosages"]).drop("mean"), "allele_frequency", "hwe_variance", to=9)
+
+
+@query("SELECT target_idx, predictor_idx, distance FROM pairs", PAIRS)
+def local_window_pairs(t):
+    return _pairs(t)
+
+
+@query("SELECT target_idx, predictor_idx, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3", PAIRS)
+def nearest_k_predictors(t):
+    return ranges.nearest(_pairs(t), 3).drop("distance")
+
+
+REGIONS = """{META},
+spans AS (SELECT chromosome, greatest(0, position - {W}) AS s, position + {W} AS e FROM m WHERE variant_idx % 3 = 2),
+reach AS (SELECT *, max(e) OVER (PARTITION BY chromosome ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans),
+island AS (SELECT *, sum(CASE WHEN s <= r THEN 0 ELSE 1 END) OVER (PARTITION BY chromosome ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS region FROM reach),
+regions AS (SELECT chromosome, CAST(region AS BIGINT) AS region, min(s) AS "start", max(e) AS "end", CAST(count(*) AS BIGINT) AS n_variants FROM island GROUP BY chromosome, region)"""
+
+
+@query("SELECT * FROM regions", REGIONS.format(META=META, W=4000))
+def merged_regions(t):
+    return ranges.merge_windows(_panel(t).filter("variant_idx % 3 = 2"), 4000)
+
+
+@query("""SELECT r.chromosome, r.region, p.variant_idx AS predictor_idx, abs(p.position - (r."start" + r."end") // 2) AS distance FROM regions r JOIN m p ON p.chromosome = r.chromosome AND p.position BETWEEN r."start" AND r."end" WHERE p.variant_idx % 3 <> 2""", REGIONS.format(META=META, W=6000))
+def region_predictors(t):
+    p = _panel(t)
+    return ranges.region_predictors(ranges.merge_windows(p.filter("variant_idx % 3 = 2"), 6000), p.filter("variant_idx % 3 <> 2"))
+
+
+@query("SELECT variant_idx, CAST(sample_idx % 5 AS INT) AS fold, CAST(count(*) AS BIGINT) AS n, round(sum(dosage), 6) AS total, round(sum(dosage * dosage), 6) AS squares FROM filled GROUP BY 1, 2", FULL)
+def fold_moments(t):
+    return _rounded(stats.fold_moments(stats.imputed(t["dosages"]), (F.col("sample_idx") % 5).cast("int")), "total", "squares")
+
+
+@query("SELECT a.variant_idx, CAST(f AS INT) AS fold, CAST(count(*) AS BIGINT) AS n, round(sum(dosage), 6) AS total, round(sum(dosage * dosage), 6) AS squares FROM filled a, range(5) g(f) WHERE a.sample_idx % 5 <> f GROUP BY 1, 2", FULL)
+def train_minus_fold_moments(t):
+    return _rounded(stats.train_moments(stats.fold_moments(stats.imputed(t["dosages"]), (F.col("sample_idx") % 5).cast("int"))), "total", "squares")
+
+
+@query("SELECT target_idx, predictor_idx, CAST(n AS BIGINT) AS n, round(product, 6) AS product FROM xp", SINGLE.format(l1=0, l2=0))
+def cross_products(t):
+    return _rounded(stats.cross_products(stats.imputed(t["dosages"]), ranges.nearest(_pairs(t), 1)), "product")
+
+
+@query("SELECT target_idx, predictor_idx, round(coefficient, 6) AS coefficient, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM single", ENET)
+def enet_single_predictor(t):
+    return _rounded(_single(t), "coefficient", "intercept", "r2")
+
+
+@query("SELECT target_idx, predictor_idx, round(coefficient, 6) AS coefficient, round(intercept, 6) AS intercept FROM single", SINGLE.format(l1=0, l2=ALPHA))
+def ridge_single_predictor(t):
+    return _rounded(stats.single_predictor_fits(stats.imputed(t["dosages"]), ranges.nearest(_pairs(t), 1), ALPHA, 0.0).drop("r2"), "coefficient", "intercept")
+
+
+def _units(t):
+    full = stats.imputed(t["dosages"])
+    panel = fit.packed(full)
+    targets = panel.filter("variant_idx % 3 = 2").select(F.col("variant_idx").alias("unit_id"), F.col("d").alias("y"))
+    return targets, ranges.nearest(_pairs(t), 4).select(F.col("target_idx").alias("unit_id"), "predictor_idx"), panel
+
+
+@query()
+def impute_models(t):
+    return fit.fit_units(*_units(t)).drop("held_out")
+
+
+@query()
+def region_models(t):
+    p = _panel(t)
+    regions = ranges.merge_windows(p.filter("variant_idx % 3 = 2"), WINDOW)
+    unit = F.col("region") + F.hash("chromosome").cast("long") * 1000
+    members = ranges.region_predictors(regions, p.filter("variant_idx % 3 = 2")).select(unit.alias("region_id"), F.col("predictor_idx").alias("variant_idx"), F.expr("(predictor_idx * 37 % 41 - 20) / 100.0D").alias("beta"), F.lit(False).alias("flip"))
+    full = stats.imputed(t["dosages"])
+    y = fit.region_contribution(full, members).groupBy(F.col("region_id").alias("unit_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "contribution"))), lambda x: x["contribution"]).alias("y"))
+    pairs = ranges.region_predictors(regions, p.filter("variant_idx % 3 <> 2"), k=20).select(unit.alias("unit_id"), "predictor_idx")
+    return fit.fit_units(y, pairs, fit.packed(full)).drop("held_out")
+
+
+@query()
+def grid_search_best(t):
+    return fit.grid_search(*_units(t), l1_ratios=(0.1, 0.9), alphas=(0.01, 0.1))
+
+
+@query()
+def cross_validate_metrics(t):
+    m = fit.fit_units(*_units(t)).select(F.expr("(unit_id * 37 % 41 - 20) / 100.0D").alias("beta"), F.col("unit_id").alias("variant_idx"), F.posexplode("held_out").alias("at", "x"))
+    est = m.groupBy("at").agg(F.sum(F.col("x") * F.col("beta")).alias("estimate"))
+    full = stats.imputed(t["dosages"]).filter("variant_idx % 3 = 2")
+    true = full.groupBy("sample_idx").agg(F.sum(F.col("dosage") * F.expr("(variant_idx * 37 % 41 - 20) / 100.0D")).alias("truth"))
+    true = true.withColumn("at", F.row_number().over(Window.orderBy("sample_idx")) - 1)
+    return metrics.calibration(true.join(est, "at"))
+
+
+@query("SELECT tier, CAST(count(*) AS BIGINT) AS n, round(avg(r2), 6) AS mean_r2, round(min(r2), 6) AS min_r2, round(max(r2), 6) AS max_r2 FROM (SELECT *, CASE WHEN r2 > 0.8 THEN 'high' WHEN r2 > 0.6 THEN 'good' WHEN r2 > 0.4 THEN 'moderate' ELSE 'low' END AS tier FROM single) GROUP BY tier", ENET)
+def quality_tiers(t):
+    return _rounded(_single(t).groupBy(X.quality_tier(F.col("r2")).alias("tier")).agg(F.count("*").cast("long").alias("n"), F.avg("r2").alias("mean_r2"), F.min("r2").alias("min_r2"), F.max("r2").alias("max_r2")), "mean_r2", "min_r2", "max_r2")
+
+
+@query("SELECT round(avg(r2), 6) AS mean_r2, round(median(r2), 6) AS median_r2, round(stddev_pop(r2), 6) AS sd_r2, CAST(count(*) FILTER (r2 > 0.8) AS BIGINT) AS n_high, CAST(count(*) FILTER (r2 > 0.4 AND r2 <= 0.8) AS BIGINT) AS n_mid, CAST(count(*) FILTER (r2 <= 0.4) AS BIGINT) AS n_low FROM single", ENET)
+def impute_training_summary(t):
+    when = lambda c: F.count(F.when(F.expr(c), 1)).cast("long")
+    return _rounded(_single(t).agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.stddev_pop("r2").alias("sd_r2"), when("r2 > 0.8").alias("n_high"), when("r2 > 0.4 and r2 <= 0.8").alias("n_mid"), when("r2 <= 0.4").alias("n_low")), "mean_r2", "median_r2", "sd_r2")
+
+
+@query("SELECT sample_idx, round(score, 6) AS score, CAST(n_used AS BIGINT) AS n_used FROM truth", RESOLVED, TRUE)
+def panel_true_score(t):
+    return _rounded(score.panel_score(t["dosages"], harmonize.resolve_alleles(t["prs"], t["panel_meta"])), "score")
+
+
+@query("SELECT d.sample_idx, round(sum(coalesce(CASE WHEN flip THEN 2 - dosage ELSE dosage END * o.beta, 0)), 6) AS score, CAST(count(dosage) AS BIGINT) AS n_used FROM dosages d JOIN oriented o ON d.variant_idx = o.variant_idx JOIN matched USING (prs_row) WHERE matched_by IS NOT NULL GROUP BY d.sample_idx", KEYS, RESOLVED)
+def panel_observed_score(t):
+    r = harmonize.resolve_alleles(t["prs"], t["panel_meta"])
+    seen = harmonize.partition_by_platform(t["prs"], t["platform"]).filter("matched_by is not null").select("prs_row")
+    return _rounded(score.panel_score(t["dosages"], r.join(seen, "prs_row", "left_semi")), "score")
+
+
+@query("SELECT sample_idx, estimate, truth FROM scores", PREDICTED)
+def panel_imputed_score(t):
+    return _scores(t)
+
+
+@query("SELECT round(regr_slope(truth, estimate), 6) AS slope, round(regr_intercept(truth, estimate), 6) AS intercept, round(regr_r2(truth, estimate), 6) AS r2, round(stddev_samp(truth), 6) AS sd_true, round(stddev_samp(estimate), 6) AS sd_estimate, round(stddev_samp(truth - estimate), 6) AS residual_sd, CAST(count(*) AS BIGINT) AS n FROM scores", PREDICTED)
+def calibration_params(t):
+    return _rounded(metrics.calibration(_scores(t)), "slope", "intercept", "r2", "sd_true", "sd_estimate", "residual_sd")
+
+
+@query("""SELECT round(corr(estimate, truth), 6) AS pearson, round(avg(abs(estimate - truth)), 6) AS mae, round(sqrt(avg(pow(estimate - truth, 2))), 6) AS rmse, round(corr(rt, re), 6) AS spearman FROM (
+  SELECT *, rank() OVER (ORDER BY truth) + (count(*) OVER (PARTITION BY truth) - 1) / 2.0 AS rt, rank() OVER (ORDER BY estimate) + (count(*) OVER (PARTITION BY estimate) - 1) / 2.0 AS re FROM scores)""", PREDICTED)
+def prs_metrics(t):
+    return _rounded(metrics.agreement(_scores(t)), "pearson", "mae", "rmse", "spearman")
+
+
+@query("""SELECT round(count(*) FILTER (truth >= th AND estimate >= eh) / count(*) FILTER (truth >= th), 6) AS top, round(count(*) FILTER (truth <= tl AND estimate <= el) / count(*) FILTER (truth <= tl), 6) AS bottom
+  FROM scores, (SELECT quantile_cont(truth, 0.9) th, quantile_cont(truth, 0.1) tl, quantile_cont(estimate, 0.9) eh, quantile_cont(estimate, 0.1) el FROM scores)""", PREDICTED)
+def percentile_concordance(t):
+    return _rounded(metrics.concordance(_scores(t), 10), "top", "bottom")
+
+
+BINS = ", ".join(f"quantile_cont({c}, {p}) AS {c[0]}{i}" for c in ("truth", "estimate") for i, p in enumerate((0.2, 0.4, 0.6, 0.8)))
+
+
+@query(f"""SELECT round((po - pe) / (1 - pe), 6) AS kappa, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS po FROM bins), (SELECT sum(pa * pb) AS pe FROM
+  (SELECT k, (SELECT count(*) FROM bins WHERE a = k) / (SELECT count(*) FROM bins) AS pa, (SELECT count(*) FROM bins WHERE b = k) / (SELECT count(*) FROM bins) AS pb FROM range(5) r(k)))""", PREDICTED, f"edges AS (SELECT {BINS} FROM scores)", "bins AS (SELECT (truth >= t0)::INT + (truth >= t1)::INT + (truth >= t2)::INT + (truth >= t3)::INT AS a, (estimate >= e0)::INT + (estimate >= e1)::INT + (estimate >= e2)::INT + (estimate >= e3)::INT AS b FROM scores, edges)")
+def quintile_kappa(t):
+    return _rounded(metrics.quintile_kappa(_scores(t)), "kappa")
+
+
+UPLOAD = f"""calls AS (SELECT user_id, lower(raw_id) AS id, {NORM.format('chromosome')} || ':' || CAST(position AS VARCHAR) AS locus, genotype FROM user_calls),
+terms AS (SELECT p.*, lower(variant_id) AS id, {NORM.format('chromosome')} || ':' || CAST(position AS VARCHAR) AS locus FROM prs p),
+hits AS (SELECT user_id, prs_row, min(way) AS w FROM (SELECT user_id, prs_row, CASE WHEN c.id = t.id THEN 0 ELSE 1 END AS way FROM calls c JOIN terms t ON c.id = t.id OR c.locus = t.locus) GROUP BY ALL),
+found AS (SELECT h.user_id, h.prs_row, min(genotype) AS lo, max(genotype) AS hi FROM hits h JOIN terms t USING (prs_row) JOIN calls c ON c.user_id = h.user_id AND (CASE WHEN w = 0 THEN c.id = t.id ELSE c.locus = t.locus END) GROUP BY ALL)"""
+
+
+@query("SELECT user_id, prs_row, CASE WHEN lo = hi THEN 'resolved' ELSE 'duplicate_conflict' END AS status, CASE WHEN lo = hi THEN lo END AS genotype FROM found", UPLOAD)
+def user_resolution_status(t):
+    return score.resolve_uploads(t["user_calls"], t["prs"])
+
+
+COUNTED = """counted AS (SELECT f.user_id, f.prs_row, t.beta, CASE WHEN lo <> hi OR lo = '--' OR effect_allele = other_allele THEN NULL
+    WHEN replace(replace(lo, effect_allele, ''), other_allele, '') = '' AND length(other_allele) = 1 THEN length(lo) - length(replace(lo, effect_allele, ''))
+    WHEN replace(replace(lo, translate(effect_allele, 'ACGT', 'TGCA'), ''), translate(other_allele, 'ACGT', 'TGCA'), '') = '' AND length(other_allele) = 1 THEN length(lo) - length(replace(lo, translate(effect_allele, 'ACGT', 'TGCA'), ''))
+    WHEN length(other_allele) > 1 AND replace(lo, effect_allele, '') = '' THEN 2 WHEN length(other_allele) > 1 AND replace(lo, translate(effect_allele, 'ACGT', 'TGCA'), '') = '' THEN 2 END AS n
+  FROM found f JOIN terms t USING (prs_row) WHERE other_allele IS NOT NULL)"""
+
+
+@query("SELECT user_id, round(coalesce(sum(n * beta), 0), 6) AS score, CAST(count(n) AS BIGINT) AS n_used, CAST(count(*) - count(n) AS BIGINT) AS n_unresolved FROM counted GROUP BY user_id", UPLOAD, COUNTED)
+def upload_scores(t):
+    return _rounded(score.upload_scores(t["user_calls"], t["prs"]), "score")
+
+
+@query("SELECT sample_idx, variant_idx, CASE WHEN dosage IS NULL THEN '--' WHEN dosage = 0 THEN ref_allele || ref_allele WHEN dosage = 1 THEN ref_allele || alt_allele ELSE alt_allele || alt_allele END AS genotype, CAST(dosage AS INT) AS counted FROM dosages JOIN panel_meta USING (variant_idx)")
+def render_genotypes(t):
+    d = t["dosages"].join(t["panel_meta"], "variant_idx").withColumn("genotype", X.render_genotype(F.col("ref_allele"), F.col("alt_allele"), F.col("dosage")))
+    return d.select("sample_idx", "variant_idx", "genotype", X.count_allele(F.col("genotype"), F.col("alt_allele"), F.col("ref_allele")).cast("int").alias("counted"))
+
+
+@query(f"SELECT d.variant_idx, CAST(count(CASE WHEN lower(variant_id) IN (SELECT key FROM k) OR {NORM.format('chromosome')} || ':' || CAST(position AS VARCHAR) IN (SELECT key FROM k) THEN dosage END) AS BIGINT) AS n_left FROM dosages d JOIN panel_meta m ON d.variant_idx = m.variant_idx GROUP BY 1", KEYS)
+def mask_to_platform(t):
+    on = harmonize.partition_by_platform(t["panel_meta"], t["platform"]).select("variant_idx", F.col("matched_by").isNotNull().alias("on_chip"))
+    return t["dosages"].join(on, "variant_idx").groupBy("variant_idx").agg(F.count(F.when(F.col("on_chip"), F.col("dosage"))).cast("long").alias("n_left"))
+
+
+@query("SELECT stratum, n, CAST(base + CASE WHEN rank <= 20 - (SELECT sum(base) FROM based) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM (SELECT *, row_number() OVER (ORDER BY exact - base DESC, stratum) AS rank FROM based)",
+    "strata AS (SELECT CASE WHEN chromosome = 'MT' THEN 'M' WHEN variant_idx % 7 = 0 THEN 'A' ELSE 'B' END AS stratum FROM panel_meta)",
+    "based AS (SELECT stratum, CAST(count(*) AS BIGINT) AS n, count(*) * 20 / (SELECT count(*) FROM strata) AS exact, floor(count(*) * 20 / (SELECT count(*) FROM strata)) AS base FROM strata GROUP BY stratum)")
+def stratified_sample_counts(t):
+    return metrics.stratified_quotas(t["panel_meta"].select(F.when(F.col("chromosome") == "MT", "M").when(F.col("variant_idx") % 7 == 0, "A").otherwise("B").alias("stratum")), 20)
+
+
+@query("SELECT target_idx, round(pow((target_idx * 37 % 41 - 20) / 100.0, 2) * 2 * mean / 2 * (1 - mean / 2) * (1 - r2), 9) AS contribution FROM single JOIN mean ON variant_idx = target_idx ORDER BY 2 DESC, 1 LIMIT 20", ENET)
+def top_variance_contributors(t):
+    q = stats.allele_frequency(t["dosages"]).select(F.col("variant_idx").alias("target_idx"), "allele_frequency")
+    c = F.expr("(target_idx * 37 % 41 - 20) / 100.0D") ** 2 * X.residual_variance(F.col("allele_frequency"), F.col("r2"))
+    return _single(t).join(q, "target_idx").select("target_idx", F.round(c, 9).alias("contribution")).orderBy(F.desc("contribution"), "target_idx").limit(20)
+
+
+@query()
+def truncated_variance(t):
+    """Mean and variance of each target's prediction at its allele frequency, truncated to possible dosages."""
+
+    @F.pandas_udf("mean double, variance double")
+    def trunc(mu: pd.Series, var: pd.Series) -> pd.DataFrame:
+        m, v = truncated_normal(mu, var.clip(lower=0) ** 0.5)
+        return pd.DataFrame({"mean": m, "variance": v})
+
+    a = stats.allele_frequency(t["dosages"])
+    return a.select("variant_idx", trunc(F.col("mean"), F.col("hwe_variance")).alias("t")).select("variant_idx", "t.mean", "t.variance")
