@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import doc_columns, keep_columns
+from .common import doc_columns
 
 #: Symbols of the automaton: letter, number, other, apostrophe that could open a contraction of one or of two letters,
 #: white space but the space, the space, end of a text.
@@ -115,6 +116,8 @@ def token_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 #: Slices up to this many bytes are merged side by side and remembered; longer ones are merged one by one.
 SIDE_BY_SIDE = 48
+#: Rows whose ids are held at once.
+ROWS = 2_000
 #: Slices remembered by one Python worker, about 100 bytes each.
 REMEMBERED = 400_000
 
@@ -272,7 +275,7 @@ def _run(path: str, full: bool):
         import pyarrow as pa
 
         m = merger(path)
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             n, ids_sha, back_sha, ok, ids_out, offsets_out = [], [], [], [], [], []
             texts = b.column(1).cast(pa.binary()).to_pylist()
             for text, (ids, offsets) in zip(texts, encode_texts(texts, m), strict=True):
@@ -283,11 +286,11 @@ def _run(path: str, full: bool):
                 ok.append(back == (text or b""))
                 if full:
                     ids_out.append(np.frombuffer(ids, "<i4"))
-                    offsets_out.append(offsets)
+                    offsets_out.append(offsets.astype(np.int32))
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(back_sha), pa.array(ok)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"]
             if full:
-                columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(offsets_out, pa.list_(pa.int64()))]
+                columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(offsets_out, pa.list_(pa.int32()))]
                 names += ["ids", "slice_offsets"]
             yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if k in (2, 3) else c for k, c in enumerate(columns)], names)
 
@@ -306,7 +309,7 @@ def encode(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
     order and partitions they came in; nothing is shuffled.
     """
     docs = doc_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_run(path, full), DIGESTS + (", ids array<int>, slice_offsets array<long>" if full else ""))
+    return docs.mapInArrow(_run(path, full), DIGESTS + (", ids array<int>, slice_offsets array<int>" if full else ""))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -321,5 +324,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "text"])
 
     bare = encoded.drop("text")
-    schema = bare.schema.add("text", "string")
-    return keep_columns(bare.mapInArrow(run, schema), bare.limit(0).withColumn("text", F.lit("")))
+    return bare.mapInArrow(run, T.StructType([*bare.schema.fields, T.StructField("text", T.StringType())]))

@@ -40,8 +40,9 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float =
     zero = F.lit(0)
     w = w.withColumns({"cum_size": F.coalesce(F.sum("source_size").over(before), zero), "cum_weight": F.coalesce(F.sum("weight").over(before), zero), "all_size": F.sum("source_size").over(everything), "all_weight": F.sum("weight").over(everything)})
     level = (share * F.col("all_size") - most * F.col("cum_size")) / (F.col("all_weight") - F.col("cum_weight"))
-    w = w.withColumn("level", F.when(F.col("weight") * level < most * F.col("source_size"), level))
-    w = w.withColumn("level", F.min("level").over(everything))  # the first that doesn't stop sets it for all after it
+    w = w.withColumns({"place": F.row_number().over(fill), "level": level})
+    goes_on = F.when(F.col("weight") * F.col("level") < most * F.col("source_size"), F.struct("place", "level"))
+    w = w.withColumn("level", F.min(goes_on).over(everything)["level"])  # the first that doesn't stop sets it for all after it
     target = F.coalesce(F.least(F.col("weight") * F.col("level"), most * F.col("source_size")), most * F.col("source_size"))
     return w.select("source", "source_size", "weight", target.cast("double").alias("target"))
 

@@ -36,12 +36,12 @@ weighed AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM sizes
 ), filled AS (
   SELECT *, coalesce(sum(source_size) OVER w, 0) AS cum_size, coalesce(sum(weight) OVER w, 0) AS cum_weight,
-    sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight
+    row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST) AS place, sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight
   FROM weighed WINDOW w AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), level AS (
   SELECT *, (1.5::DOUBLE * all_size - 2.0::DOUBLE * cum_size) / (all_weight - cum_weight) AS l FROM filled
 ), level2 AS (
-  SELECT source, source_size, weight, min(CASE WHEN weight * l < 2.0::DOUBLE * source_size THEN l END) OVER () AS l FROM level
+  SELECT source, source_size, weight, (SELECT arg_min(l, place) FROM level WHERE weight * l < 2.0::DOUBLE * source_size) AS l FROM level
 ), goals AS (
   SELECT source, source_size, coalesce(least(weight * l, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target FROM level2
 ), wanted AS (

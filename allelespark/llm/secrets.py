@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, keep_columns, text_or_empty
+from .common import doc_columns, text_or_empty
 
 # The base kinds, on bytes, where case folding and classes are ASCII.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -96,7 +96,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     identifiers. Kinds may overlap, novel ones overlap none of the others. Null and empty texts have no spans; texts are
     scanned whole, one row for each row, without a shuffle.
     """
-    d = docs.select(F.col(f"`{keep[0]}`"), F.col(f"`{text}`"), *(F.col(f"`{c}`") for c in keep[1:]))
+    d = docs.select(F.col(f"`{keep[0]}`"), F.col(f"`{text}`"), *(F.col(f"`{c}`") for c in keep[1:]))  # the text comes second
     return d.mapInArrow(_run, T.StructType([*d.schema.fields, T.StructField("spans", T.ArrayType(SPAN))]))
 
 
@@ -119,8 +119,10 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by mark, overlapping ones by one; other columns stay, but n_chars, where
     there is one, follows the text. Texts without spans, empty and null ones stay as they are."""
-    s = scan(docs, keep=tuple(["doc_id", *(c for c in docs.columns if c not in ("doc_id", "text"))]))
-    text = text_or_empty()
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no input column clashes with spans
+    at = inner["text"]
+    s = scan(docs.toDF(*inner.values()), text=at, keep=tuple(x for x in inner.values() if x != at))
+    text = text_or_empty(at)
     # pieces between spans, in order: where a span ends inside an earlier one it adds nothing
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -130,7 +132,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     whole = F.aggregate("spans", state, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    s = s.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        s = s.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return keep_columns(s, docs)
+    s = s.withColumn(at, F.when(F.size("spans") > 0, whole).otherwise(F.col(at)))
+    if (n := inner.get("n_chars")) is not None:
+        s = s.withColumn(n, F.when(F.size("spans") > 0, F.length(at).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return s.select(*(F.col(x).alias(c) for c, x in inner.items()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelespark.llm import bpe, minhash, mixing, secrets, toxicity
-from allelespark.llm.common import cut, keep_columns, small, store
+from allelespark.llm.common import cut, small, store
 from allelespark.llm.queries import VOCABULARY
 
 
@@ -28,10 +28,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    taken = cut(taken.filter("copies > 0"))
-    out = docs.join(small(taken), docs["doc_id"].eqNullSafe(taken["doc_id"])).select(*(docs[c] for c in docs.columns), "copies")
-    return keep_columns(out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs)
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("taken_copies"))
+    taken = cut(taken.filter("taken_copies > 0"))
+    out = docs.join(small(taken), docs["doc_id"].eqNullSafe(taken["taken_id"]))
+    return out.withColumn("taken_copy", F.explode(F.sequence(F.lit(1), "taken_copies"))).select(*(docs[c] for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
