@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns
+from .common import doc_columns, slices
 
 #: Symbols of the automaton: letter, number, other, apostrophe that could open a contraction of one or of two letters,
 #: white space but the space, the space, end of a text.
@@ -116,10 +116,8 @@ def token_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 #: Slices up to this many bytes are merged side by side and remembered; longer ones are merged one by one.
 SIDE_BY_SIDE = 48
-#: Rows whose ids are held at once.
-ROWS = 2_000
 #: Slices remembered by one Python worker, about 100 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class Merger:
@@ -244,7 +242,7 @@ def merger(path: str) -> Merger:
     return _mergers[path]
 
 
-def encode_texts(texts: list[bytes | None], m: Merger, chunk: int = 2 << 20) -> Iterator[tuple[bytes, np.ndarray]]:
+def encode_texts(texts: list[bytes | None], m: Merger, chunk: int = 1 << 20) -> Iterator[tuple[bytes, np.ndarray]]:
     """For each text its packed ids and the byte offsets at which its slices begin; texts go through in chunks of bytes."""
     i = 0
     while i < len(texts):
@@ -275,7 +273,7 @@ def _run(path: str, full: bool):
         import pyarrow as pa
 
         m = merger(path)
-        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for b in slices(batches):
             n, ids_sha, back_sha, ok, ids_out, offsets_out = [], [], [], [], [], []
             texts = b.column(1).cast(pa.binary()).to_pylist()
             for text, (ids, offsets) in zip(texts, encode_texts(texts, m), strict=True):
@@ -319,7 +317,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         m = merger(path)
-        for b in batches:
+        for b in slices(batches):
             out = [None if x is None else m.decode(np.array(x, "<u4").tobytes()).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "text"])
 

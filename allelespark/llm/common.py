@@ -57,6 +57,32 @@ def small(df: DataFrame, width: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and n * width <= BROADCAST_BYTES else df
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in slices, so that few texts are Python objects at once; freed memory goes back when they end.
+
+    Python workers are reused by later stages, which would else start on top of what earlier ones have left."""
+    try:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+    finally:
+        tidy()
+
+
+def tidy() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it keeps what it holds
+        pass
+
+
 def doc_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named input columns, so that extra ones can't clash with what an operator adds."""
     return df.select(*(F.col(f"`{n}`") for n in names))

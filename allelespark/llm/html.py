@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Element names by their part in a page.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "textarea", "title", "object", "canvas", "video", "audio", "select"}
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset"}
@@ -130,7 +132,7 @@ def main_text(page: str) -> str:
 def _run(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for b in batches:
+    for b in slices(batches):
         texts = [main_text(h or "") for h in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

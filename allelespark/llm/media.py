@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, slices
 
 PACKET, FRAME = 188, 576
 #: Frames in an elementary packet, packets between random-access points, ticks of 90 kHz for each frame.
@@ -170,7 +170,7 @@ def _run(full: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 text = text or b""

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_columns, small, store
+from .common import cut, doc_columns, slices, small, store
 from .components import components
 
 #: Bands of rows a signature is cut into: a pair at similarity 0.8 shares none with probability (1 - 0.8^5)^28 < 2e-5.
@@ -32,7 +32,7 @@ class WordCodes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -93,7 +93,7 @@ def _signed(k: int, bands: int, rows: int):
         import xxhash
 
         codes = WordCodes()
-        for b in batches:
+        for b in slices(batches):
             n, keys, out = [], [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, k, codes)
@@ -110,7 +110,7 @@ def _sets(k: int):
         import pyarrow as pa
 
         codes = WordCodes()
-        for b in batches:
+        for b in slices(batches):
             out = [shingle_set(t, k, codes).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "shingles"])
 
@@ -123,7 +123,7 @@ def _confirm(percent: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             ok = []
             for sa, sb in zip(b.column("sa"), b.column("sb"), strict=True):
                 x, y = sa.values.to_numpy(), sb.values.to_numpy()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, text_or_empty
+from .common import doc_columns, slices, text_or_empty
 
 # The base kinds, on bytes, where case folding and classes are ASCII.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -73,7 +73,7 @@ def find(text: bytes) -> list[tuple[int, int, int, int | None]]:
 def _run(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for b in batches:
+    for b in slices(batches):
         spans = []
         for text in b.column(1).cast(pa.binary()).to_pylist():
             found, points, done, said = find(text or b""), 0, 0, []

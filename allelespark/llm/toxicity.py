@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import slices, store, tidy
 
 # Look-alike letters and digits, and what they are folded to.
 LOOKALIKE = "аеорсухікмнтвѕјԁӏ" "αεορυικντβ" "ı"
@@ -99,14 +99,16 @@ def _counted(only: frozenset | None):
         import pandas as pd
 
         c: Counter = Counter()
-        for pdf in batches:
+        for pdf in batches:  # of the bounded sample
             for t in pdf["text"]:
                 f = features(fold(t or ""))
                 c.update(f.keys() if only is None else f.keys() & only)
-            if len(c) > 2_000_000:
-                yield pd.DataFrame(c.items(), columns=["f", "n"])
-                c.clear()
+                if len(c) > 150_000:
+                    yield pd.DataFrame(c.items(), columns=["f", "n"])
+                    c.clear()
         yield pd.DataFrame(c.items(), columns=["f", "n"])
+        c.clear()
+        tidy()
 
     return run
 
@@ -199,7 +201,7 @@ def _scored(lexicon: Lexicon, text_at: int):
         import pyarrow as pa
 
         m = lexicon.matcher()
-        for b in batches:
+        for b in slices(batches):
             s = [lexicon.probability(lexicon.measure(t, m)) for t in b.column(text_at).to_pylist()]
             keep = [i for i in range(b.num_columns) if i != text_at]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(s, pa.float64())], [*(b.schema.names[i] for i in keep), "score"])
@@ -221,7 +223,7 @@ def _clean(lexicon: Lexicon, text_at: int, threshold: float):
         import pyarrow as pa
 
         m = lexicon.matcher()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([lexicon.probability(lexicon.measure(t, m)) < threshold for t in b.column(text_at).to_pylist()], pa.bool_()))
 
     return run
