@@ -41,7 +41,7 @@ def read_vcf(spark: SparkSession, path: str, region: tuple[str, int, int] | None
         prob = F.when((F.size(gp) == 3) & F.forall(gp, lambda x: x >= 0), F.get(gp, 1) + 2 * F.get(gp, 2)).cast("float")
         return F.coalesce(F.when(ds >= 0, ds), gt, prob)
 
-    name = F.when(F.col("id").isNull() | (F.col("id") == "."), F.concat_ws(":", "chromosome", "position", "ref_allele", "alt_allele")).otherwise(F.col("id"))
+    name = F.when(F.col("id").isNull() | (F.col("id") == "."), F.concat_ws(":", "chromosome", "position")).otherwise(F.col("id"))
     return d.select(name.alias("variant_id"), "chromosome", "position", "ref_allele", "alt_allele", F.transform("cells", dosage).alias("dosage")), samples
 
 
