@@ -6,38 +6,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def valid(scores: DataFrame) -> DataFrame:
+    """Samples whose truth and estimate are both numbers."""
+    ok = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in ("truth", "estimate")]
+    return scores.filter(ok[0] & ok[1])
+
+
 def calibration(scores: DataFrame) -> DataFrame:
-    """One row: the regression of truth on estimate, r2, spreads (ddof 1) and the residual spread before and after it."""
-    return scores.agg(
+    """One row: the regression of truth on estimate with the slope's error, r2, spreads (ddof 1), attenuation and the residual
+    spread before (raw_residual_sd) and after it (residual_sd); null where a spread is zero or fewer than 3 samples count."""
+    d = valid(scores).agg(
         F.regr_slope("truth", "estimate").alias("slope"), F.regr_intercept("truth", "estimate").alias("intercept"), F.regr_r2("truth", "estimate").alias("r2"),
-        F.stddev_samp("truth").alias("sd_true"), F.stddev_samp("estimate").alias("sd_estimate"), F.stddev_samp(F.col("truth") - F.col("estimate")).alias("residual_sd"),
+        F.stddev_samp("truth").alias("sd_true"), F.stddev_samp("estimate").alias("sd_estimate"), F.stddev_samp(F.col("truth") - F.col("estimate")).alias("raw_residual_sd"),
         F.count("*").cast("long").alias("n"),
     )
+    rest = F.greatest(1 - F.col("r2"), F.lit(0.0)) * (F.col("n") - 1) * F.col("sd_true") ** 2
+    d = d.withColumns({
+        "slope_se": F.sqrt(F.try_divide(rest, F.col("n") - 2) / F.nullif((F.col("n") - 1) * F.col("sd_estimate") ** 2, F.lit(0.0))),
+        "sd_scaled": F.abs("slope") * F.col("sd_estimate"), "attenuation": F.col("sd_estimate") / F.nullif("sd_true", F.lit(0.0)),
+        "residual_sd": F.coalesce(F.sqrt(F.try_divide(rest, F.col("n") - 1)), "raw_residual_sd"),
+    })
+    return d.select(*(c if c == "n" else F.when(F.col("n") >= 3, F.col(c)).alias(c) for c in d.columns))
 
 
-def agreement(scores: DataFrame) -> DataFrame:
-    """One row: Pearson r, MAE, RMSE and Spearman's rho by average ranks. Ranks need one order of all samples; a row holds
-    two numbers, so a biobank of millions is sorted in one task."""
-    def rank(c):
-        w = Window.orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
+def average_rank(d: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """(column, rank) of each distinct value, ties sharing the mean of their ranks.
+
+    Values are counted first, then ranked within the parts that approximate quantiles cut, each part behind the counts of
+    those below it: no task sorts all rows, and equal values never meet as rows.
+    """
+    v = d.groupBy(column).agg(F.count("*").alias("k"))
+    edges = v.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], F.lit(1000)).alias("edges"))
+    v = v.join(F.broadcast(edges)).withColumn("part", F.size(F.filter("edges", lambda e: e < F.col(column)))).drop("edges")
+    below = v.groupBy("part").agg(F.sum("k").alias("all")).select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("below"))
+    before = F.sum("k").over(Window.partitionBy("part").orderBy(column))
+    return v.join(F.broadcast(below), "part").select(column, (F.col("below") + before - F.col("k") + (F.col("k") + 1) / 2).alias("rank"))
 
-    r = scores.select("truth", "estimate", rank("truth").alias("rt"), rank("estimate").alias("re"))
-    return r.agg(F.corr("estimate", "truth").alias("pearson"), F.avg(F.abs(F.col("estimate") - F.col("truth"))).alias("mae"), F.sqrt(F.avg((F.col("estimate") - F.col("truth")) ** 2)).alias("rmse"), F.corr("rt", "re").alias("spearman"))
+
+def agreement(scores: DataFrame) -> DataFrame:
+    """One row: Pearson r and its square, MAE, RMSE, Spearman's rho by average ranks, mean and spread of truth - estimate."""
+    d = valid(scores)
+    for c in ("truth", "estimate"):
+        d = d.join(average_rank(d, c).withColumnRenamed("rank", f"rank_{c}"), c)
+    error = F.col("truth") - F.col("estimate")
+    return d.agg(
+        F.corr("estimate", "truth").alias("pearson"), F.pow(F.corr("estimate", "truth"), F.lit(2)).alias("r2"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error**2)).alias("rmse"),
+        F.corr("rank_truth", "rank_estimate").alias("spearman"), F.avg(error).alias("mean_error"), F.stddev_samp(error).alias("sd_error"),
+    )
 
 
-def concordance(scores: DataFrame, percent: float) -> DataFrame:
-    """One row: of the samples in the true top (bottom) percent, the share that is also in the estimated one."""
+def concordance(scores: DataFrame, percents=(1, 5, 10)) -> DataFrame:
+    """(percent, top, bottom): of the samples in the estimated top (bottom) percent, the share that is also in the true one."""
+    d = valid(scores)
     q = lambda c, p: F.percentile(c, F.lit(p))
-    hi, lo = 1 - percent / 100, percent / 100
-    edges = scores.agg(q("truth", hi).alias("th"), q("truth", lo).alias("tl"), q("estimate", hi).alias("eh"), q("estimate", lo).alias("el"))
-    d = scores.join(F.broadcast(edges))
-    both = lambda a, b: (F.count(F.when(a & b, 1)) / F.count(F.when(a, 1))).alias
-    return d.agg(both(F.col("truth") >= F.col("th"), F.col("estimate") >= F.col("eh"))("top"), both(F.col("truth") <= F.col("tl"), F.col("estimate") <= F.col("el"))("bottom"))
+    each = [F.struct(F.lit(float(p)).alias("percent"), q("truth", 1 - p / 100).alias("th"), q("truth", p / 100).alias("tl"), q("estimate", 1 - p / 100).alias("eh"), q("estimate", p / 100).alias("el")) for p in percents]
+    d = d.join(F.broadcast(d.agg(F.array(*each).alias("e")))).select("truth", "estimate", F.inline("e"))
+    both = lambda a, b: F.count(F.when(a & b, 1)) / F.count(F.when(b, 1))
+    top, bottom = both(F.col("truth") >= F.col("th"), F.col("estimate") >= F.col("eh")), both(F.col("truth") <= F.col("tl"), F.col("estimate") <= F.col("el"))
+    return d.groupBy("percent").agg(top.alias("top"), bottom.alias("bottom"))
 
 
 def quintile_kappa(scores: DataFrame) -> DataFrame:
     """One row: Cohen's kappa of the quintiles that the interior percentiles of each score cut."""
+    scores = valid(scores)
     cuts = [0.2, 0.4, 0.6, 0.8]
     edges = scores.agg(*(F.percentile(c, F.lit(p)).alias(f"{c[0]}{i}") for c in ("truth", "estimate") for i, p in enumerate(cuts)))
     bin_ = lambda c: sum(((F.col(c) >= F.col(f"{c[0]}{i}")).cast("int") for i in range(4)), F.lit(0))

@@ -295,21 +295,29 @@ def panel_imputed_score(t):
     return _scores(t)
 
 
-@query("SELECT round(regr_slope(truth, estimate), 6) AS slope, round(regr_intercept(truth, estimate), 6) AS intercept, round(regr_r2(truth, estimate), 6) AS r2, round(stddev_samp(truth), 6) AS sd_true, round(stddev_samp(estimate), 6) AS sd_estimate, round(stddev_samp(truth - estimate), 6) AS residual_sd, CAST(count(*) AS BIGINT) AS n FROM scores", PREDICTED)
+@query("""SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(sd_true, 6) AS sd_true, round(sd_estimate, 6) AS sd_estimate, round(raw_residual_sd, 6) AS raw_residual_sd, n,
+    round(sqrt((1 - r2) * syy / (n - 2) / sxx), 6) AS slope_se, round(abs(slope) * sd_estimate, 6) AS sd_scaled, round(sd_estimate / sd_true, 6) AS attenuation, round(sqrt((1 - r2) * syy / (n - 1)), 6) AS residual_sd
+  FROM (SELECT regr_slope(truth, estimate) AS slope, regr_intercept(truth, estimate) AS intercept, regr_r2(truth, estimate) AS r2, regr_sxx(truth, estimate) AS sxx, regr_syy(truth, estimate) AS syy, stddev_samp(truth) AS sd_true,
+    stddev_samp(estimate) AS sd_estimate, stddev_samp(truth - estimate) AS raw_residual_sd, CAST(count(*) AS BIGINT) AS n FROM scores)""", PREDICTED)
 def calibration_params(t):
-    return _rounded(metrics.calibration(_scores(t)), "slope", "intercept", "r2", "sd_true", "sd_estimate", "residual_sd")
+    d = metrics.calibration(_scores(t))
+    return _rounded(d, *(c for c in d.columns if c != "n"))
 
 
-@query("""SELECT round(corr(estimate, truth), 6) AS pearson, round(avg(abs(estimate - truth)), 6) AS mae, round(sqrt(avg(pow(estimate - truth, 2))), 6) AS rmse, round(corr(rt, re), 6) AS spearman FROM (
+@query("""SELECT round(corr(estimate, truth), 6) AS pearson, round(pow(corr(estimate, truth), 2), 6) AS r2, round(avg(abs(estimate - truth)), 6) AS mae, round(sqrt(avg(pow(estimate - truth, 2))), 6) AS rmse, round(corr(rt, re), 6) AS spearman,
+  round(avg(truth - estimate), 6) + 0.0 AS mean_error, round(stddev_samp(truth - estimate), 6) AS sd_error FROM (
   SELECT *, rank() OVER (ORDER BY truth) + (count(*) OVER (PARTITION BY truth) - 1) / 2.0 AS rt, rank() OVER (ORDER BY estimate) + (count(*) OVER (PARTITION BY estimate) - 1) / 2.0 AS re FROM scores)""", PREDICTED)
 def prs_metrics(t):
-    return _rounded(metrics.agreement(_scores(t)), "pearson", "mae", "rmse", "spearman")
+    d = metrics.agreement(_scores(t))
+    return _rounded(d, *d.columns).withColumn("mean_error", F.col("mean_error") + 0.0)  # no -0.0
 
 
-@query("""SELECT round(count(*) FILTER (truth >= th AND estimate >= eh) / count(*) FILTER (truth >= th), 6) AS top, round(count(*) FILTER (truth <= tl AND estimate <= el) / count(*) FILTER (truth <= tl), 6) AS bottom
-  FROM scores, (SELECT quantile_cont(truth, 0.9) th, quantile_cont(truth, 0.1) tl, quantile_cont(estimate, 0.9) eh, quantile_cont(estimate, 0.1) el FROM scores)""", PREDICTED)
+@query("""SELECT CAST(p AS DOUBLE) AS percent, round(count(*) FILTER (truth >= th AND estimate >= eh) / count(*) FILTER (estimate >= eh), 6) AS top, round(count(*) FILTER (truth <= tl AND estimate <= el) / count(*) FILTER (estimate <= el), 6) AS bottom
+  FROM scores, (SELECT 1 AS p, quantile_cont(truth, 0.99) th, quantile_cont(truth, 0.01) tl, quantile_cont(estimate, 0.99) eh, quantile_cont(estimate, 0.01) el FROM scores
+    UNION ALL SELECT 5, quantile_cont(truth, 0.95), quantile_cont(truth, 0.05), quantile_cont(estimate, 0.95), quantile_cont(estimate, 0.05) FROM scores
+    UNION ALL SELECT 10, quantile_cont(truth, 0.9), quantile_cont(truth, 0.1), quantile_cont(estimate, 0.9), quantile_cont(estimate, 0.1) FROM scores) GROUP BY p""", PREDICTED)
 def percentile_concordance(t):
-    return _rounded(metrics.concordance(_scores(t), 10), "top", "bottom")
+    return _rounded(metrics.concordance(_scores(t)), "top", "bottom")
 
 
 BINS = ", ".join(f"quantile_cont({c}, {p}) AS {c[0]}{i}" for c in ("truth", "estimate") for i, p in enumerate((0.2, 0.4, 0.6, 0.8)))

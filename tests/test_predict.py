@@ -163,3 +163,25 @@ def test_shards_resume(spark, tmp_path):
     assert shards.listing(spark, str(tmp_path)) == {key: {"0"}}
     assert shards.resume(spark, str(tmp_path), key, ["0", "1"], build).count() == 10 and built == ["0", "1", "1"]
     assert shards.clear(spark, str(tmp_path), key) and shards.finished(spark, str(tmp_path), key) == set()
+
+
+def test_ranks_and_agreement_with_ties(spark):
+    from allelespark.operators import metrics
+
+    r = np.random.RandomState(2)
+    x = np.round(r.randn(500), 1)
+    x[:200] = 0.5  # one value holds two fifths of the rows
+    y = x + r.randn(500)
+    d = spark.createDataFrame(list(zip(x.tolist(), y.tolist())) + [(None, 1.0), (1.0, float("nan"))], "truth double, estimate double")
+    want = {v: (np.flatnonzero(np.sort(x) == v) + 1).mean() for v in set(x)}
+    assert {q.truth: q.rank for q in metrics.average_rank(metrics.valid(d).select("truth"), "truth", 8).collect()} == pytest.approx(want)
+    a = metrics.agreement(d).first()
+    rank = lambda v: np.array([(v < t).sum() + ((v == t).sum() + 1) / 2 for t in v])
+    assert a.spearman == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1]) and a.pearson == pytest.approx(np.corrcoef(x, y)[0, 1])
+    c = metrics.calibration(d).first()
+    slope, at = np.polyfit(y, x, 1)
+    assert (c.slope, c.intercept, c.n) == pytest.approx((slope, at, 500)) and c.residual_sd == pytest.approx((x - at - slope * y).std(ddof=1))
+    assert metrics.calibration(d.limit(2)).first().slope is None and metrics.agreement(d.limit(0)).first().pearson is None
+    top = {q.percent: q.top for q in metrics.concordance(d, (10,)).collect()}
+    est = y >= np.percentile(y, 90)
+    assert top[10.0] == pytest.approx((est & (x >= np.percentile(x, 90))).sum() / est.sum())
