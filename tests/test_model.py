@@ -1,3 +1,4 @@
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from allelespark import model as M
 from allelespark.operators import validate
 from allelespark.plans.adapter import tables
+from allelespark.sources import scores
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,6 +68,17 @@ def test_text_round_trip(fitted, t, tmp_path):
     assert r.n == 3 and r.max_difference <= 1e-6
 
 
+def test_document(fitted, spark, t, tmp_path):
+    m, _ = fitted
+    at = str(tmp_path / "m.json")
+    assert scores.write_document(m, at) > 1000
+    json.load(open(at))
+    back = scores.read_document(spark, at)
+    assert back.calibration == pytest.approx(m.calibration) and back.info["method"] == m.info["method"]
+    a, b = (x.predict(t["user_calls"]).select("user_id", "prs", "se", "n_fallback").toPandas().sort_values("user_id").to_numpy(float) for x in (m, back))
+    assert np.allclose(a, b)
+
+
 def test_save_load_and_resume(fitted, spark, t, tmp_path, monkeypatch):
     m, args = fitted
     for kind in ("parquet", "json"):
