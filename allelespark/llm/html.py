@@ -1,4 +1,4 @@
-"""HTML extraction by line-block distribution: the text between the points where line lengths surge and dive."""
+"""HTML extraction by element lists and line-block distribution: windows where links outweigh text hold none."""
 
 from __future__ import annotations
 
@@ -21,8 +21,8 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:"[^"]*"|'[^']*'|[^>"'])*)>|[^<>]*>|[^<>]*\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden)\b""")
-#: Lines in a window, and the length that a window must reach for the text to surge.
-WINDOW, SURGE = 3, 1
+#: Lines in a window, and also the links from which on it can hold no text.
+WINDOW = 3
 
 
 def _unwanted(name: str, attributes: str) -> bool:
@@ -39,28 +39,44 @@ def _unwanted(name: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """The page's lines and whether each lies in an article or main element; every stripped element leaves WINDOW empty lines."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, int, int]]:
+    """The page's lines, whether each lies in an article or main element, the length of its links and their number; every
+    stripped element leaves WINDOW empty lines."""
+    out: list[tuple[str, bool, int, int]] = []
     text: list[str] = []
+    linked: list[str] = []
+    depth: int | None = None  # of blocks opened within an open link
+    fresh, links = True, 0
     closed: list[str] | None = None  # names of open elements within an unwanted one
     inside = at = 0
 
+    def add(piece: str) -> None:
+        nonlocal fresh, links
+        text.append(piece)
+        if depth is not None and piece.strip():
+            linked.append(piece)
+            links += fresh
+            fresh = False
+
     def end_line() -> None:
+        nonlocal fresh, links
         if text:
-            out.append((" ".join(entities.unescape("".join(text)).split()), inside > 0))
+            within = len(" ".join(entities.unescape("".join(linked)).split())) if linked else 0
+            out.append((" ".join(entities.unescape("".join(text)).split()), inside > 0, within, links))
             text.clear()
+            linked.clear()
+        fresh, links = True, 0
 
     def gap() -> None:
         end_line()
-        out.extend([("", inside > 0)] * WINDOW)
+        out.extend([("", inside > 0, 0, 0)] * WINDOW)
 
     while (m := TOKEN.search(page, at)) is not None:
         if closed is None and m.start() > at:
-            text.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         if m[0].startswith("<![CDATA[") and closed is None:
-            text.append(entities.escape(m[0][9:].removesuffix("]]>")))
+            add(entities.escape(m[0][9:].removesuffix("]]>")))
         if m[2] is None:
             continue
         name, closing, attributes = m[2].lower(), m[1] == "/", m[3]
@@ -90,43 +106,60 @@ def lines(page: str) -> list[tuple[str, bool]]:
             if name != "head" or re.search(r"</head", page[at:], re.I):
                 closed = [name]
             continue
+        if name == "a":
+            depth, fresh = (None if closing or "href" not in attributes.lower() else 0), True
         if name in BLOCKS:
             end_line()
+            if depth is not None and name not in VOID:
+                depth = depth + (-1 if closing else 1)
+                if depth < 0:  # a link that is never closed ends with the block that held it
+                    depth = None
         if name in ("article", "main"):
             inside = max(0, inside + (-1 if closing else 1))
     if closed is None:
-        text.append(page[at:])
+        add(page[at:])
     end_line()
     return out
 
 
+def _has_text(run: list[tuple[str, bool, int, int]]) -> list[bool]:
+    """Which lines of a run lie in a window where text surges: what is no link is at least as long as the links, or these
+    are fewer than WINDOW. Lines of links that meet a dropped line go with it."""
+    keep = [False] * len(run)
+    for i in range(max(1, len(run) - WINDOW + 1)):
+        block = run[i : i + WINDOW]
+        if sum(x[3] for x in block) < WINDOW or sum(len(x[0]) - 2 * x[2] for x in block) >= 0:
+            keep[i : i + WINDOW] = [True] * len(block)
+    for order in (range(1, len(run)), range(len(run) - 2, -1, -1)):
+        for i in order:
+            before = i - 1 if order.step > 0 else i + 1
+            if keep[i] and not keep[before] and 2 * run[i][2] > len(run[i][0]):
+                keep[i] = False
+    return keep
+
+
 def main_text(page: str) -> str:
-    """Lines are numbered, the lengths of WINDOW lines from each on are summed; text surges where a sum first reaches
-    SURGE after nothing and dives where sums fall to nothing again. In an article or main element every stretch between
-    a surge and a dive is kept; in pages without them, the longest and those at least a fifth as long."""
+    """Lines without a stripped element between them are a run. Windows of WINDOW lines go over each run; a line is kept
+    if text surges in a window that holds it, however short it is: link lists go, short paragraphs stay. If text surges
+    nowhere, all lines are kept. With an article or main element only its lines count; in pages without them runs
+    shorter than a fifth of the longest go too."""
     ls = lines(page)
-    if any(inside and t for t, inside in ls):
-        ls = [(t, True) if inside else ("", False) for t, inside in ls]
-        framed = True
-    else:
-        framed = False
-    size = [len(t) for t, _ in ls]
-    total = [0]
-    for n in size:
-        total.append(total[-1] + n)
-    window = [total[min(i + WINDOW, len(size))] - total[i] for i in range(len(size))]
-    stretches, start = [], None
-    for i, w in enumerate(window):
-        if start is None and w >= SURGE:
-            start = i
-        elif start is not None and w == 0:
-            stretches.append((start, i))
-            start = None
-    if start is not None:
-        stretches.append((start, len(size)))
-    length = {s: total[s[1]] - total[s[0]] for s in stretches}
-    least = 0 if framed else max(length.values(), default=0) / 5
-    return " ".join(t for a, b in stretches if length[a, b] >= least for t, _ in ls[a:b] if t)
+    framed = any(x[1] and x[0] for x in ls)
+    runs, empty = [[]], 0
+    for x in ls:
+        if not x[0] or framed and not x[1]:
+            empty += 1
+            continue
+        if empty >= WINDOW and runs[-1]:
+            runs.append([])
+        runs[-1].append(x)
+        empty = 0
+    kept = [[x[0] for x, k in zip(run, _has_text(run), strict=True) if k] for run in runs]
+    if not any(kept):
+        kept = [[x[0] for x in run] for run in runs]
+    length = [sum(map(len, k)) for k in kept]
+    least = 0 if framed else max(length) / 5
+    return " ".join(t for k, n in zip(kept, length, strict=True) if n >= least for t in k)
 
 
 def _run(batches: Iterator) -> Iterator:

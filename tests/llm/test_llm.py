@@ -277,6 +277,17 @@ def test_pages(spark):
     assert [x.text for x in html.extract(rows).orderBy(F.desc("page_id")).collect()] == ["", "a"]
 
 
+def test_windows_of_links_hold_no_text():
+    p = html.main_text
+    menu = "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(5))
+    assert p(f"<article><div><ul>{menu}</ul></div><p>One two three.</p><p>x</p><div>{menu}</div></article>") == "One two three. x"
+    assert p('<main><p>Text.</p><p>x</p><aside>ad</aside><div><a href="/">Home</a> | <a href="/a">About</a> | <a href="/c">Contact</a></div><aside>ad</aside><p>end</p></main>') == "Text. x end"
+    assert p('<article><h1><a href="/t">A linked title</a></h1><p>Short.</p><p><a href="/r">The whole report of the commission</a></p></article>') == "A linked title Short. The whole report of the commission"
+    assert p('<article><p>See <a href="/a">one</a>, <a href="/b">two</a> and <a href="/c">three</a> for more on this.</p></article>') == "See one, two and three for more on this."
+    assert p(f"<article><ul>{menu}</ul></article>") == " ".join(f"Section {i}" for i in range(5))
+    assert p('<article><p><a href="/x">never closed</p><p>one</p><p>two</p><p>three</p></article>') == "never closed one two three"
+
+
 # --- op 9 -------------------------------------------------------------------------------------------------------------
 
 
