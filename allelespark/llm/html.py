@@ -141,10 +141,13 @@ def _has_text(run: list[tuple[str, bool, int, int]]) -> list[bool]:
 def main_text(page: str) -> str:
     """Lines without a stripped element between them are a run. Windows of WINDOW lines go over each run; a line is kept
     if text surges in a window that holds it, however short it is: link lists go, short paragraphs stay. If text surges
-    nowhere, all lines are kept. With an article or main element only its lines count; in pages without them runs
-    shorter than a fifth of the longest go too."""
+    nowhere, all lines are kept. Where article and main elements hold most of the text that is no link, only their lines
+    count; elsewhere all lines do."""
     ls = lines(page)
-    framed = any(x[1] and x[0] for x in ls)
+    plain = [0, 0]
+    for t, inside, within, _ in ls:
+        plain[inside] += len(t) - within
+    framed = plain[True] > plain[False]
     runs, empty = [[]], 0
     for x in ls:
         if not x[0] or framed and not x[1]:
@@ -157,9 +160,7 @@ def main_text(page: str) -> str:
     kept = [[x[0] for x, k in zip(run, _has_text(run), strict=True) if k] for run in runs]
     if not any(kept):
         kept = [[x[0] for x in run] for run in runs]
-    length = [sum(map(len, k)) for k in kept]
-    least = 0 if framed else max(length) / 5
-    return " ".join(t for k, n in zip(kept, length, strict=True) if n >= least for t in k)
+    return " ".join(t for k in kept for t in k)
 
 
 def _run(batches: Iterator) -> Iterator:

@@ -288,6 +288,15 @@ def test_windows_of_links_hold_no_text():
     assert p('<article><p><a href="/x">never closed</p><p>one</p><p>two</p><p>three</p></article>') == "never closed one two three"
 
 
+def test_pages_without_a_frame_keep_short_sections():
+    p, body = html.main_text, "Words of the body. " * 50
+    assert p(f"<div><p>{body}</p></div><aside>ad</aside><p>Short closing paragraph.</p>") == f"{body}Short closing paragraph."
+    assert p(f"<p>Lead.</p><div class='ad'>ad</div><p>{body}</p><div class='ad'>ad</div><p>{body}</p><form>f</form><p>End.</p>") == f"Lead. {body}{body}End."
+    teaser = "<article><h2><a href='/t'>Teaser</a></h2><p>A few words.</p></article>"
+    assert p(f"<div><p>{body}</p></div>{teaser}") == f"{body}Teaser A few words."
+    assert p(f"<div>Outside.</div><article><p>{body}</p></article>") == body.strip()
+
+
 # --- op 9 -------------------------------------------------------------------------------------------------------------
 
 
