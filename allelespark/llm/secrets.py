@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=~.-]{14,}")
 REACH = 80
 #: Bytes of text on each side that prime the compressor, besides the identifiers.
 AROUND = 400
-#: A candidate is novel if it adds at least so many bytes, and so many for each of its own.
+#: A candidate is novel if it adds at least so many bytes, and so many for each of its own or for each that a random string
+#: of its length over its own characters adds: from about 64 bytes on zstandard also codes a small alphabet shorter.
 NOVEL_BYTES, NOVEL_RATE = 10, 0.8
 # Identifiers of code and configuration that are no secrets.
 IDENTIFIERS = b"""
@@ -46,6 +49,18 @@ def novelty(candidate: bytes, around: bytes) -> int:
     return len(c.compress(candidate)) - len(c.compress(b""))
 
 
+@lru_cache(4096)
+def random_cost(alphabet: bytes, length: int) -> int:
+    """Bytes that a random string (seeded, so the same on every run) of an alphabet and length adds to a primed frame."""
+    return novelty(bytes(random.Random(length).choices(alphabet, k=length)), b"")
+
+
+def is_novel(candidate: bytes, added: int) -> bool:
+    if added < NOVEL_BYTES:
+        return False
+    return added >= NOVEL_RATE * len(candidate) or added >= NOVEL_RATE * random_cost(bytes(sorted(set(candidate))), len(candidate))
+
+
 def find(text: bytes) -> list[tuple[int, int, int, int | None]]:
     """(kind, start, end, novelty) by start, then kind; places in bytes; novelty only for what the method adds."""
     out: list[tuple[int, int, int, int | None]] = []
@@ -65,7 +80,7 @@ def find(text: bytes) -> list[tuple[int, int, int, int | None]]:
             if not mixed or any(a < m.end() and m.start() < b for a, b in base):
                 continue
             around = text[max(0, m.start() - AROUND) : m.start()] + b"\n" + text[m.end() : m.end() + AROUND]
-            if (n := novelty(c, around)) >= max(NOVEL_BYTES, NOVEL_RATE * len(c)):
+            if is_novel(c, n := novelty(c, around)):
                 out.append((3, m.start(), m.end(), n))
     return sorted(out, key=lambda x: (x[1], x[0]))
 
@@ -92,8 +107,8 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """keep columns, text and spans(kind, start, end, novelty) of docs, in code points, end exclusive, by start, then kind.
 
     Kinds: assign, access and hex are fixed patterns; novel is a string of 14 bytes and more with a letter and a digit,
-    soon after a sensitive word, that adds nearly its own length to a frame primed with the text around it and with
-    identifiers. Kinds may overlap, novel ones overlap none of the others. Null and empty texts have no spans; texts are
+    soon after a sensitive word, that adds nearly its own length, or what a random string of its length and characters
+    adds, to a frame primed with the text around it and with identifiers. Kinds may overlap, novel ones overlap none of the others. Null and empty texts have no spans; texts are
     scanned whole, one row for each row, without a shuffle.
     """
     d = docs.select(F.col(f"`{keep[0]}`"), F.col(f"`{text}`"), *(F.col(f"`{c}`") for c in keep[1:]))  # the text comes second

@@ -181,6 +181,22 @@ def test_novel_and_redaction(spark):
     assert secrets.redact(odd(spark)).columns == odd(spark).columns and secrets.report(empty(spark)).count() == 0 and secrets.report(odd(spark)).count() == 9
 
 
+def test_long_secrets_of_any_alphabet():
+    r = random.Random(5)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"hex": digits + "ABCDEF", "base32": upper + "234567", "lower": upper.lower() + digits, "base64": upper + upper.lower() + digits + "+/"}
+    prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(200))
+    spans = lambda c: [x[1:3] for x in secrets.find(f"{prose} the auth header was {c} {prose}".encode()) if x[0] == 3]
+    for name, alphabet in alphabets.items():
+        for n in (20, 60, 63, 64, 65, 80, 128, 160, 200, 256, 512, 1000, 2048, 4096, 9000):
+            for _ in range(20):
+                c = ("a2" if name == "lower" else "A2") + "".join(r.choice(alphabet) for _ in range(n - 2))
+                at = len(prose) + len(" the auth header was ")
+                assert spans(c) == [(at, at + n)], (name, n, c)
+    for c in ("ab12" * 50, "configuration_environment_1" * 8, "0123456789abcdefghijklmnopqrstuvwxyz" * 20, "user_name/database_url/max_connections/timeout_seconds/v1/access_token/refresh_token"):
+        assert spans(c) == []
+
+
 # --- op 4 -------------------------------------------------------------------------------------------------------------
 
 
