@@ -7,6 +7,7 @@ import functools
 import hashlib
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,10 +85,8 @@ def scan(elements: np.ndarray, table: np.ndarray) -> np.ndarray:
 @functools.cache
 def classes() -> np.ndarray:
     """Symbol of every code point, apostrophes as O."""
-    out = np.full(0x110000, O, np.uint8)
-    kinds = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
-    kinds = np.array(kinds)
-    out[kinds == "L"], out[kinds == "N"] = L, N
+    kind = {"L": L, "N": N}
+    out = np.fromiter((kind.get(unicodedata.category(chr(i))[0], O) for i in range(0x110000)), np.uint8, 0x110000)
     out[list(SPACES)] = W
     out[0x20] = P
     return out
@@ -116,8 +115,8 @@ def token_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 #: Slices up to this many bytes are merged side by side and remembered; longer ones are merged one by one.
 SIDE_BY_SIDE = 48
-#: Slices remembered by one Python worker, about 100 bytes each.
-REMEMBERED = 150_000
+#: Slices remembered by one Python worker, about 200 bytes each, and bytes of text that are slices at once.
+REMEMBERED, CHUNK = 60_000, 1 << 18
 
 
 class Merger:
@@ -131,14 +130,15 @@ class Merger:
             self.pieces[i] = piece
         self.none = len(self.pieces)
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        get, pairs = self.ranks.get, {}
+        get, keys, merged = self.ranks.get, array("q"), array("q")
         for piece, i in self.ranks.items():
             for k in range(1, len(piece)):
                 x, y = get(piece[:k]), get(piece[k:])
                 if x is not None and y is not None:
-                    pairs[x * (self.none + 1) + y] = i
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[x] for x in self.keys.tolist()], np.int64)
+                    keys.append(x * (self.none + 1) + y)
+                    merged.append(i)
+        order = np.argsort(np.frombuffer(keys, np.int64))
+        self.keys, self.merged = np.frombuffer(keys, np.int64)[order], np.frombuffer(merged, np.int64)[order]
         self.known: dict[bytes, bytes] = {}
 
     def _pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -242,7 +242,7 @@ def merger(path: str) -> Merger:
     return _mergers[path]
 
 
-def encode_texts(texts: list[bytes | None], m: Merger, chunk: int = 1 << 20) -> Iterator[tuple[bytes, np.ndarray]]:
+def encode_texts(texts: list[bytes | None], m: Merger, chunk: int = CHUNK) -> Iterator[tuple[bytes, np.ndarray]]:
     """For each text its packed ids and the byte offsets at which its slices begin; texts go through in chunks of bytes."""
     i = 0
     while i < len(texts):
@@ -268,6 +268,15 @@ def encode_texts(texts: list[bytes | None], m: Merger, chunk: int = 1 << 20) ->
             begin, first = stop, last
 
 
+def _lists(packed: list[bytes]):
+    """An Arrow array of lists of 32-bit integers from their packed bytes, without an object for each number."""
+    import pyarrow as pa
+
+    ends = np.cumsum([0] + [len(x) // 4 for x in packed]).astype(np.int32)
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def _run(path: str, full: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -283,12 +292,12 @@ def _run(path: str, full: bool):
                 back_sha.append(hashlib.sha256(back).hexdigest())
                 ok.append(back == (text or b""))
                 if full:
-                    ids_out.append(np.frombuffer(ids, "<i4"))
-                    offsets_out.append(offsets.astype(np.int32))
+                    ids_out.append(ids)
+                    offsets_out.append(offsets.astype("<i4").tobytes())
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(back_sha), pa.array(ok)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"]
             if full:
-                columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(offsets_out, pa.list_(pa.int32()))]
+                columns += [_lists(ids_out), _lists(offsets_out)]
                 names += ["ids", "slice_offsets"]
             yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if k in (2, 3) else c for k, c in enumerate(columns)], names)
 

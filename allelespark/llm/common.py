@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,14 +58,37 @@ def small(df: DataFrame, width: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and n * width <= BROADCAST_BYTES else df
 
 
-def slices(batches, rows: int = 500):
-    """Arrow batches in slices, so that few texts are Python objects at once; freed memory goes back when they end.
+#: Rows and bytes of one slice of an Arrow batch; a longer row is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 500, 2 << 20
+
+
+def _row_ends(batch) -> np.ndarray:
+    """Bytes of the strings, binaries and lists of a batch up to the end of each row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type):
+            total += 8 * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(total)
+
+
+def slices(batches, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """Arrow batches in slices of bounded rows and bytes, so that few texts are Python objects at once; freed memory goes
+    back when they end.
 
     Python workers are reused by later stages, which would else start on top of what earlier ones have left."""
     try:
         for b in batches:
-            for i in range(0, b.num_rows, rows):
-                yield b.slice(i, rows)
+            ends, i = _row_ends(b), 0
+            while i < b.num_rows:
+                before = ends[i - 1] if i else 0
+                n = max(1, int(np.searchsorted(ends[i : i + rows], before + size, "right")))
+                yield b.slice(i, n)
+                i += n
     finally:
         tidy()
 

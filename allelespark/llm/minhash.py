@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, bands: in
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     rest = cut(rest.select("band", "hash", "i", "j", "block", "id", "component"))
     if rest.limit(1).count():
-        more = rest.join(sets, "id").groupBy("band", "hash", "i", "j").applyInPandas(_bucket_links(similarity), "a long, b long")
+        more = cut(rest.join(sets, "id").groupBy("band", "hash", "i", "j").applyInPandas(_bucket_links(similarity), "a long, b long"))  # cut, so that no task needs two Python workers
         found = cut(components(links.union(more)))
 
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
