@@ -40,8 +40,8 @@ def is_allele(a: Column) -> Column:
 
 
 def id_kind(i: Column) -> Column:
-    """rsid, chrpos or invalid."""
-    return F.when(F.lower(i).rlike(r"^rs\d+$"), "rsid").when(F.upper(i).rlike(r"^(CHR)?(\d{1,2}|X|Y|M|MT):\d+"), "chrpos").otherwise("invalid")
+    """rsid, chrpos or invalid: rs and digits, or a chromosome without prefix, a colon and digits, and nothing else."""
+    return F.when(F.lower(F.trim(i)).rlike(r"^rs[0-9]+$"), "rsid").when(F.upper(F.trim(i)).rlike(r"^([0-9]{1,2}|X|Y|MT?):[0-9]+$"), "chrpos").otherwise("invalid")
 
 
 def locus_key(chromosome: Column, position: Column) -> Column:
@@ -49,9 +49,11 @@ def locus_key(chromosome: Column, position: Column) -> Column:
 
 
 def id_key(i: Column) -> Column:
-    """The key an identifier is matched by: a lower-case rsID, or chr:pos from its first two parts."""
+    """The key an identifier is matched by: chr:pos from the first two parts of what holds a colon and doesn't begin with
+    rs, else the identifier in lower case."""
     parts = F.split(i, ":")
-    return F.when(id_kind(i) == "rsid", F.lower(i)).when(id_kind(i) == "chrpos", F.concat_ws(":", normalize_chromosome(F.get(parts, 0)), F.get(parts, 1)))
+    locus = F.contains(i, F.lit(":")) & ~F.lower(i).startswith("rs")
+    return F.when(locus, F.concat_ws(":", normalize_chromosome(F.get(parts, 0)), F.get(parts, 1))).otherwise(F.lower(i))
 
 
 def clip_dosage(d: Column) -> Column:
@@ -74,12 +76,38 @@ def predictor_bucket(n: Column) -> Column:
     return F.when(n == 0, "0").when(n == 1, "1").when(n <= 5, "2-5").when(n <= 20, "6-20").otherwise("21+")
 
 
+def prs_bucket(n: Column) -> Column:
+    """Bucket of a region's number of score variants."""
+    return F.when(n <= 1, "1").when(n <= 3, "2-3").otherwise("4+")
+
+
 def parse_genotype(g: Column) -> Column:
-    """The two alleles of a call as an array, null where nothing was called: AG, A/G, A|G, or one allele for two."""
+    """The two alleles of a call in order, null where there are none: AG, or two alleles of any length parted by / or |.
+
+    One allele, more than two bases without a separator, symbols and no-calls (judged without separators) are null.
+    """
     clean = F.upper(F.trim(g))
     bare = F.regexp_replace(clean, "[/|]", "")
-    parts = F.when(clean.rlike("[/|]"), F.split(clean, "[/|]")).when(F.length(clean) == 2, F.array(F.substring(clean, 1, 1), F.substring(clean, 2, 1))).otherwise(F.array(clean, clean))
-    return F.when(~bare.isin(*NO_CALL) & ~clean.isin(*NO_CALL) & (F.size(parts) == 2) & F.forall(parts, is_allele), parts)
+    parts = F.when(clean.rlike("[/|]"), F.split(clean, "[/|]")).when(clean.rlike("^[ACGT]{2}$"), F.array(F.substring(clean, 1, 1), F.substring(clean, 2, 1)))
+    return F.when(~bare.isin(*NO_CALL) & (F.size(parts) == 2) & F.forall(parts, is_allele), parts)
+
+
+def genotype_group(g: Column) -> Column:
+    """What two calls of one genotype have in common: AG, GA and A/G are equal, and so are equal texts that are no call."""
+    alleles = parse_genotype(g)
+    return F.when(alleles.isNotNull(), F.array_join(F.array_sort(alleles), "/")).otherwise(F.concat(F.lit("raw:"), F.upper(F.trim(g))))
+
+
+def zygosity_dosage(g: Column) -> Column:
+    """2 for a homozygous and 1 for a heterozygous call of two characters, whichever alleles; else null."""
+    clean = F.upper(F.trim(g))
+    sound = (F.length(clean) == 2) & ~clean.isin(*NO_CALL) & ~clean.rlike("[-N0ID]")
+    return F.when(sound, F.when(F.substring(clean, 1, 1) == F.substring(clean, 2, 1), 2.0).otherwise(1.0))
+
+
+def is_hard_call(d: Column) -> Column:
+    """Whether a dosage is 0, 1 or 2 within 1e-9, or missing."""
+    return F.coalesce((F.abs(d - F.round(d)) <= 1e-9) & F.round(d).between(0, 2), F.lit(True))
 
 
 def count_allele(g: Column, counted: Column, other: Column, strand_flip: bool = True, allow_ambiguous: bool = True) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.exprs import is_ambiguous, normalize_chromosome, residual_variance
 from .functions.solver import kfold
-from .operators import blocks, fit, harmonize, metrics, predict, ranges, score, stats
+from .operators import blocks, fit, harmonize, metrics, predict, ranges, score, stats, tiles
 from .sources import shards
 
 TABLES = ("observed", "models", "coefficients", "variants", "dispositions")
@@ -94,13 +95,23 @@ class ScoreModel:
         m = m.select(*terms, kind.alias("status"), F.col("cv_r2").alias("imputation_r2"), "allele_frequency", "intercept", F.size(F.when(F.col("predictor_variant_ids").isNull(), F.array().cast("array<string>")).otherwise(F.split("predictor_variant_ids", ";"))).alias("n_predictors"), "residual_variance", "predictor_variant_ids")
         return t["observed"].select(*terms, F.lit("observed").alias("status"), F.lit(0).alias("n_predictors")).unionByName(m, allowMissingColumns=True)
 
+    def used_ids(self) -> DataFrame:
+        """(variant_id) of all terms the model scores and all predictors: what an upload or a panel can add to a score."""
+        t = self.tables
+        terms = t["dispositions"].filter(F.col("status").isin(*STATUSES)).select("variant_id")
+        return terms.union(t["variants"].select("variant_id")).distinct()
+
+    def region_table(self) -> DataFrame:
+        """A row a region of a projection: its intercept, fit and number of predictors."""
+        return self.tables["models"].filter("role = 'region'").select("unit_id", "intercept", "cv_mse", "cv_r2", "n_predictors", "intercept_only", "target_variance")
+
     def save(self, path: str, kind: str = "parquet") -> None:
         """Its tables under path as parquet, json or orc, and one row of settings."""
         for name in TABLES:
             self.tables[name].write.mode("overwrite").format(kind).save(f"{path}/{name}")
         spark = self.tables["models"].sparkSession
         rows = [(k, str(v), w) for w, d in (("info", self.info), ("calibration", self.calibration)) for k, v in d.items() if v is not None]
-        spark.createDataFrame([*rows, ("schemas", "|".join(self.tables[n].schema.json().replace("|", "") for n in TABLES), "schemas")], "name string, value string, part string").coalesce(1).write.mode("overwrite").format(kind).save(f"{path}/settings")
+        spark.createDataFrame([*rows, *((n, self.tables[n].schema.json(), "schemas") for n in TABLES)], "name string, value string, part string").coalesce(1).write.mode("overwrite").format(kind).save(f"{path}/settings")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, kind: str = "parquet") -> ScoreModel:
@@ -109,8 +120,8 @@ class ScoreModel:
         from pyspark.sql.types import StructType
 
         s = spark.read.schema("name string, value string, part string").format(kind).load(f"{path}/settings").collect()
-        schemas = next(r.value for r in s if r.part == "schemas").split("|")
-        tables = {n: spark.read.schema(StructType.fromJson(json.loads(j))).format(kind).load(f"{path}/{n}") for n, j in zip(TABLES, schemas, strict=True)}
+        schemas = {r.name: StructType.fromJson(json.loads(r.value)) for r in s if r.part == "schemas"}
+        tables = {n: spark.read.schema(schemas[n]).format(kind).load(f"{path}/{n}") for n in TABLES}
         return cls(tables, {r.name: float(r.value) for r in s if r.part == "calibration"}, {r.name: r.value for r in s if r.part == "info"})
 
 
@@ -127,8 +138,8 @@ def fit_model(
     panel(variant_idx, variant_id, chromosome, position, ref_allele, alt_allele), dosages(sample_idx, variant_idx, dosage).
     Every placed term gets a unit: the terms off the chip are targets (or, with method "projection", members of merged
     regions), those on it fallbacks. The units' moments are kept by chromosome under root (spark.checkpoint.dir if not
-    given), so a lost job goes on at the next chromosome and other penalties are solved without the panel. Only the sample
-    ids, a row each, come to the driver.
+    given), so a lost job goes on at the next chromosome and other penalties are solved without the panel. The panel is
+    packed once, by chromosome, and kept there too. No table of samples or variants comes to the driver.
     """
     spark = panel.sparkSession
     root = root or spark.conf.get("spark.checkpoint.dir", None)
@@ -140,11 +151,14 @@ def fit_model(
     on = on.withColumn("excluded", is_ambiguous(F.col("effect_allele"), F.col("other_allele")) if not allow_ambiguous else F.lit(False))
     chip = harmonize.partition_by_platform(panel, platform).filter("matched_by is not null").drop("matched_by")
     placed = _placed(on.filter("not excluded"), panel).select("prs_row", "variant_idx", "flip", "beta", "on_chip").join(panel.select("variant_idx", "chromosome", "position"), "variant_idx")
-    frequencies = stats.allele_frequency(dosages).select("variant_idx", "allele_frequency", "hwe_variance")
-    full = stats.imputed(dosages)
-    packed = fit.packed(full)
-    samples = [r[0] for r in dosages.select("sample_idx").distinct().orderBy("sample_idx").collect()]
-    fold = spark.createDataFrame([(s, int(k)) for s, k in zip(samples, kfold(len(samples), folds, seed), strict=True)], "sample_idx long, fold int")
+    terms = prs.select("prs_row", "variant_id", "chromosome", "position", "effect_allele", "other_allele", "beta")
+    key = shards.key([shards.digest(terms), shards.digest(platform), shards.digest(dosages), shards.digest(panel.select("variant_idx", "variant_id", "chromosome", "position", "ref_allele", "alt_allele"))], {"method": method, "window": window, "max_predictors": max_predictors, "folds": folds, "seed": seed, "ambiguous": allow_ambiguous})
+    samples = shards.resume(spark, root, f"{key}-samples", ["all"], lambda _: dosages.select("sample_idx").distinct().agg(F.array_sort(F.collect_list("sample_idx")).alias("ids")).select(F.posexplode("ids").alias("at", "sample_idx"))).drop("shard")
+    # The panel is read and packed once; later jobs read the rows of one chromosome.
+    packed = shards.partitioned(spark, root, f"{key}-packed", "chromosome", lambda: fit.packed(dosages).join(panel.select("variant_idx", "chromosome", "position"), "variant_idx"))
+    frequencies = stats.frequencies(packed).select("variant_idx", "allele_frequency", "hwe_variance")
+    n = samples.count()
+    fold = spark.createDataFrame([(i, int(k)) for i, k in enumerate(kfold(n, folds, seed))], "at int, fold int")
     projection = method == "projection"
     regions = ranges.merge_windows(placed.filter("not on_chip"), window) if projection else None
     members = None
@@ -153,24 +167,21 @@ def fit_model(
 
     def units(chromosome: str) -> DataFrame:
         here = placed.filter((F.col("chromosome") == chromosome) & (F.col("on_chip") if projection else F.lit(True)))
-        near = chip.filter(F.col("chromosome") == chromosome)
-        pairs = ranges.nearest(ranges.window_pairs(here.select("variant_idx", "chromosome", "position").distinct(), near, window), max_predictors)
+        cells = packed.filter(F.col("chromosome") == chromosome)
+        near = cells.join(chip.select("variant_idx"), "variant_idx", "left_semi")
         role = F.when(F.col("on_chip"), "fallback").otherwise("target")
         ids = here.select(F.col("prs_row").cast("long").alias("unit_id"), "variant_idx", "flip")
-        y = ids.join(packed, "variant_idx").select("unit_id", F.when(F.col("flip"), F.transform("d", lambda x: 2 - x)).otherwise(F.col("d")).alias("y"))
-        out = blocks.collect_blocks(y, ids.join(pairs, F.col("variant_idx") == F.col("target_idx")).select("unit_id", "predictor_idx"), packed, folds, seed)
+        y = ids.join(cells, "variant_idx").select("unit_id", "variant_idx", "chromosome", "position", F.when(F.col("flip"), F.transform("d", lambda x: 2 - x)).otherwise(F.col("d")).alias("y"))
+        out = tiles.collect_tiles(near, y, window, max_predictors, folds, seed)
         out = out.join(here.select(F.col("prs_row").cast("long").alias("unit_id"), role.alias("role")), "unit_id")
         if projection:
-            own = members.filter(F.col("chromosome") == chromosome).join(placed.filter("not on_chip").select("variant_idx", "flip", "beta"), "variant_idx").select(F.col("region").alias("region_id"), "variant_idx", "beta", "flip")
-            y = fit.region_contribution(full, own).groupBy(F.col("region_id").alias("unit_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "contribution"))), lambda x: x["contribution"]).alias("y"))
-            inside = ranges.region_predictors(regions.filter(F.col("chromosome") == chromosome), near, max_predictors).select(F.col("region").alias("unit_id"), "predictor_idx")
-            r = blocks.collect_blocks(y, inside, packed, folds, seed).withColumn("role", F.lit("region"))
+            own = members.filter(F.col("chromosome") == chromosome).join(placed.filter("not on_chip").select("variant_idx", "flip", "beta"), "variant_idx").select(F.col("region").alias("unit_id"), "variant_idx", "beta", "flip")
+            inside = ranges.region_predictors(regions.filter(F.col("chromosome") == chromosome), chip.filter(F.col("chromosome") == chromosome), max_predictors).select(F.col("region").alias("unit_id"), "predictor_idx")
+            r = blocks.collect_blocks(tiles.region_targets(cells, own), inside, stats.filled(near), folds, seed).withColumn("role", F.lit("region"))
             out = out.unionByName(r.withColumn("unit_id", F.xxhash64(F.lit(chromosome), "unit_id")))  # regions are numbered within a chromosome
         return out
 
     names = sorted(r[0] for r in placed.select("chromosome").distinct().collect())
-    terms = prs.select("prs_row", "variant_id", "chromosome", "position", "effect_allele", "other_allele", "beta")
-    key = shards.key([shards.digest(terms), shards.digest(platform), shards.digest(dosages), shards.digest(panel.select("variant_idx", "variant_id", "chromosome", "position", "ref_allele", "alt_allele"))], {"method": method, "window": window, "max_predictors": max_predictors, "folds": folds, "seed": seed, "ambiguous": allow_ambiguous})
     base = {"prs_row": F.col("prs_row"), **{c: F.col(c) for c in ("variant_id", "chromosome", "position", "effect_allele", "other_allele", "beta", "on_chip", "excluded")}}
     stored = shards.resume(spark, root, key, names, units).drop("shard")
 
@@ -207,10 +218,14 @@ def fit_model(
     left = blocks.leave_one_out(stored.filter("role <> 'fallback'").drop("role"), alpha, l1_ratio).join(models.select("unit_id", "beta"), "unit_id")
     w = left.select("fold", "beta", F.explode(F.arrays_zip("predictor_idx", "coefficients")).alias("x")).groupBy("fold", F.col("x.predictor_idx").alias("variant_idx")).agg(F.sum(F.col("beta") * F.col("x.coefficients")).alias("w"))
     const = left.groupBy("fold").agg(F.sum(F.col("beta") * F.col("intercept")).alias("const"))
-    moved = full.join(F.broadcast(fold), "sample_idx").join(w, ["fold", "variant_idx"]).groupBy("sample_idx").agg(F.sum(F.col("dosage") * F.col("w")).alias("x"))
-    seen = score.panel_score(dosages, placed.filter("on_chip")).select("sample_idx", F.col("score").alias("seen"))
-    held = fold.join(F.broadcast(const), "fold", "left").join(moved, "sample_idx", "left").join(seen, "sample_idx", "left").na.fill(0.0)
-    truth = score.panel_score(full, placed).select("sample_idx", F.col("score").alias("truth"))
-    c = metrics.calibration(held.select("sample_idx", (F.col("const") + F.col("x") + F.col("seen")).alias("estimate")).join(truth, "sample_idx")).first().asDict()
+    flat = F.lit(False).alias("flip")
+    sums = [tiles.weighted_sum(stats.filled(packed), w.filter(F.col("fold") == k).select("variant_idx", F.col("w").alias("weight"), flat)).withColumn("fold", F.lit(k)) for k in range(folds)]
+    moved = functools.reduce(DataFrame.unionByName, sums)
+    weights = placed.select("variant_idx", F.col("beta").alias("weight"), "flip", "on_chip")
+    seen = tiles.weighted_sum(packed, weights.filter("on_chip"))
+    held = fold.join(F.broadcast(const), "fold", "left").join(moved.withColumnRenamed("value", "x"), ["at", "fold"], "left").join(seen.withColumnRenamed("value", "seen"), "at", "left").na.fill(0.0)
+    truth = tiles.weighted_sum(stats.filled(packed), weights).withColumnRenamed("value", "truth")
+    c = metrics.calibration(held.select("at", (F.col("const") + F.col("x") + F.col("seen")).alias("estimate")).join(truth, "at")).first().asDict()
+    c = metrics.with_theory({k: v for k, v in c.items() if v is not None}, models)
     tables = {"observed": observed, "models": models, "coefficients": coefficients, "variants": variants, "dispositions": dispositions}
-    return ScoreModel(tables, {k: v for k, v in c.items() if v is not None}, {"method": method, "build": build, "platform": platform_name})
+    return ScoreModel(tables, c, {"method": method, "build": build, "platform": platform_name})

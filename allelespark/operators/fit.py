@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip_dosage
 from ..functions.solver import fit_block, kfold
 from .blocks import best_penalties, collect_blocks, solve_blocks
 
@@ -50,16 +49,3 @@ def grid_search(targets: DataFrame, pairs: DataFrame, panel: DataFrame, l1_ratio
     The samples are read once, for the moments; each point of the grid is solved from those.
     """
     return best_penalties(solve_blocks(collect_blocks(targets, pairs, panel, folds), l1_ratios, alphas))
-
-
-def fold_scores(full: DataFrame, left: DataFrame, folds: DataFrame) -> DataFrame:
-    """(sample_idx, fold, estimate, truth): clipped predictions times beta of each sample under left(unit_id, fold, intercept,
-    predictor_idx, coefficients, beta), the models fitted without its fold of folds(sample_idx, fold); truth by full dosages.
-    """
-    d = full.join(folds, "sample_idx")
-    c = left.select("unit_id", "fold", F.explode(F.arrays_zip("predictor_idx", "coefficients")).alias("x")).select("unit_id", "fold", F.col("x.predictor_idx").alias("variant_idx"), F.col("x.coefficients").alias("coefficient")).filter("coefficient <> 0")
-    dot = d.join(c, ["variant_idx", "fold"]).groupBy("sample_idx", "fold", "unit_id").agg(F.sum(F.col("dosage") * F.col("coefficient")).alias("x"))
-    own = d.join(left.select(F.col("unit_id").alias("variant_idx"), "fold", "intercept", "beta"), ["variant_idx", "fold"])
-    d = own.join(dot.withColumnRenamed("unit_id", "variant_idx"), ["sample_idx", "fold", "variant_idx"], "left")
-    est = clip_dosage(F.col("intercept") + F.coalesce("x", F.lit(0.0))) * F.col("beta")
-    return d.groupBy("sample_idx", "fold").agg(F.sum(est).alias("estimate"), F.sum(F.col("dosage") * F.col("beta")).alias("truth"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import complement, id_key, is_allele, locus_key, normalize_chromosome
+from ..functions.exprs import complement, id_key, is_allele, is_ambiguous, locus_key, normalize_chromosome
 
 
 def clean_score(raw: DataFrame) -> DataFrame:
@@ -72,3 +72,25 @@ def dispositions(prs: DataFrame, platform: DataFrame, panel: DataFrame) -> DataF
     d = partition_by_platform(prs, platform).join(why, "prs_row", "left")
     status = F.when(F.col("matched_by").isNotNull(), "observed").when(F.col("reason").isNull(), "imputed").otherwise("dropped")
     return d.select("prs_row", "variant_id", status.alias("status"), F.when(status == "dropped", F.col("reason")).alias("reason"))
+
+
+def align_by_id(prs: DataFrame, panel: DataFrame) -> DataFrame:
+    """prs rows found in the panel by id, else by locus (the last panel row of several), with variant_idx, flip, ambiguous and
+    matched: the older rule, which looks at the effect allele, then at its complement, then at the other allele alone."""
+    last = lambda key: panel.select("variant_idx", "ref_allele", "alt_allele", key.alias("k")).groupBy("k").agg(F.max_by(F.struct("variant_idx", "ref_allele", "alt_allele"), "variant_idx").alias("r"))
+    by_id, by_locus = last(F.lower("variant_id")), last(locus_key(F.col("chromosome"), F.col("position")))
+    d = prs.withColumns({"_id": F.lower("variant_id"), "_locus": locus_key(F.col("chromosome"), F.col("position"))})
+    d = d.join(by_id.withColumnsRenamed({"k": "_id", "r": "_a"}), "_id", "left").join(by_locus.withColumnsRenamed({"k": "_locus", "r": "_b"}), "_locus", "left")
+    d = d.withColumn("_r", F.coalesce("_a", "_b")).filter("_r is not null")
+    e, o, ref, alt = F.upper("effect_allele"), F.upper("other_allele"), F.upper("_r.ref_allele"), F.upper("_r.alt_allele")
+    turned = F.when(e == alt, False).when(e == ref, True).when(complement(e) == alt, False).when(complement(e) == ref, True).when(o == alt, True).when(o == ref, False)
+    return d.select(*(prs[c] for c in prs.columns), F.col("_r.variant_idx").alias("variant_idx"), turned.alias("flip"), is_ambiguous(ref, alt).alias("ambiguous"), turned.isNotNull().alias("matched"))
+
+
+def drop_examples(cleaned: DataFrame, most: int = 5) -> DataFrame:
+    """(reason, n, examples) of clean_score(): how many rows go for each reason, and the first ids of them."""
+    ids = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("prs_row", "variant_id"))), lambda x: x["variant_id"]), 1, most)
+    bad = cleaned.filter("reason is not null")
+    n = bad.groupBy("reason").agg(F.count("*").cast("long").alias("n"))
+    first = bad.withColumn("_k", F.row_number().over(Window.partitionBy("reason").orderBy("prs_row"))).filter(F.col("_k") <= most).groupBy("reason").agg(ids.alias("examples"))
+    return n.join(first, "reason")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import normalize_chromosome
+
 
 def valid(scores: DataFrame) -> DataFrame:
     """Samples whose truth and estimate are both numbers."""
@@ -29,6 +33,68 @@ def calibration(scores: DataFrame) -> DataFrame:
     return d.select(*(c if c == "n" else F.when(F.col("n") >= 3, F.col(c)).alias(c) for c in d.columns))
 
 
+def estimate_calibration(scores: DataFrame) -> dict:
+    """calibration() as a dict; ValueError below 3 samples. Where the estimate doesn't vary the slope is 1, its error and r2
+    are 0 and the intercept is the difference of the means."""
+    c = calibration(scores).first().asDict()
+    if c["n"] < 3:
+        raise ValueError(f"{c['n']} samples are too few to calibrate; 3 are needed")
+    if c["slope"] is None or not math.isfinite(c["slope"]):
+        off = valid(scores).agg(F.avg(F.col("truth") - F.col("estimate"))).first()[0]
+        c |= {"slope": 1.0, "intercept": off, "r2": 0.0, "slope_se": 0.0, "sd_scaled": c["sd_estimate"], "residual_sd": c["raw_residual_sd"]}
+    return c
+
+
+def with_theory(c: dict, models: DataFrame) -> dict:
+    """A calibration with theoretical_sd: the root of the models' summed variances, beta² times residual_variance of targets or
+    cv_mse of regions."""
+    v = F.when(F.col("role") == "region", F.col("cv_mse")).otherwise(F.col("beta") ** 2 * F.col("residual_variance"))
+    total = models.filter("role in ('target', 'region')").agg(F.sum(v)).first()[0]
+    return c | {"theoretical_sd": math.sqrt(max(total or 0.0, 0.0))}
+
+
+def standard_error(terms: DataFrame) -> DataFrame:
+    """One row: the root of the summed beta² times residual_variance of terms(beta, residual_variance)."""
+    return terms.agg(F.sqrt(F.coalesce(F.sum(F.col("beta") ** 2 * F.col("residual_variance")), F.lit(0.0))).alias("se"))
+
+
+def quality_summary(models: DataFrame) -> DataFrame:
+    """One row over models(r2, beta): how many there are in each tier, mean, median, least and greatest r2 and the mean weighted
+    by |beta|, unweighted where all betas are 0."""
+    r, w = F.col("r2"), F.abs("beta")
+    when = lambda c: F.count(F.when(c, 1)).cast("long")
+    return models.agg(
+        F.count("*").cast("long").alias("n_models"), when(r > 0.8).alias("n_high"), when((r > 0.6) & (r <= 0.8)).alias("n_good"), when((r > 0.4) & (r <= 0.6)).alias("n_moderate"), when(r <= 0.4).alias("n_low"),
+        F.avg(r).alias("mean_r2"), F.median(r).alias("median_r2"), F.min(r).alias("min_r2"), F.max(r).alias("max_r2"), F.coalesce(F.try_divide(F.sum(r * w), F.sum(w)), F.avg(r)).alias("weighted_r2"),
+    )
+
+
+def quantile_bins(d: DataFrame, column: str, bins: int, name: str) -> DataFrame:
+    """d with name, the bin of column among the interior quantiles (linear between ranks), 0 to bins - 1."""
+    if bins < 2:
+        return d.withColumn(name, F.lit(0))
+    edges = d.agg(F.percentile(column, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_e"))
+    return d.join(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), F.size(F.filter("_e", lambda e: e <= F.col(column))))).drop("_e")
+
+
+def variant_strata(variants: DataFrame, bins: int = 3) -> DataFrame:
+    """variants(chromosome, allele_frequency, beta) with stratum: chromosome, bin of the minor allele's frequency and of |beta|."""
+    q = F.coalesce("allele_frequency", F.lit(0.0))
+    d = quantile_bins(variants.withColumns({"_maf": F.least(q, 1 - q), "_b": F.abs("beta")}), "_maf", bins, "_mb")
+    d = quantile_bins(d, "_b", bins, "_bb")
+    return d.withColumn("stratum", F.concat_ws(":", normalize_chromosome(F.col("chromosome")), "_mb", "_bb")).drop("_maf", "_b", "_mb", "_bb")
+
+
+def stratified_sample(items: DataFrame, n_target: int | None, seed: int = 42, key: str = "unit_id") -> DataFrame:
+    """n_target rows of items(key, stratum) at most: each stratum fills its quota in the order of a seeded hash of key. All rows
+    where there are no more than n_target."""
+    if n_target is None:
+        return items
+    quota = stratified_quotas(items, n_target).select("stratum", F.least("quota", "n").alias("quota"))
+    order = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), key), key))
+    return items.withColumn("_k", order).join(quota, "stratum").filter(F.col("_k") <= F.col("quota")).drop("_k", "quota").select(*items.columns)
+
+
 def average_rank(d: DataFrame, column: str, parts: int = 64) -> DataFrame:
     """(column, rank) of each distinct value, ties sharing the mean of their ranks.
 
@@ -44,15 +110,17 @@ def average_rank(d: DataFrame, column: str, parts: int = 64) -> DataFrame:
 
 
 def agreement(scores: DataFrame) -> DataFrame:
-    """One row: Pearson r and its square, MAE, RMSE, Spearman's rho by average ranks, mean and spread of truth - estimate."""
-    d = valid(scores)
+    """One row: Pearson r and its square, MAE, RMSE, Spearman's rho by average ranks, mean and spread of truth - estimate, slope
+    and intercept of truth on estimate, and the number of samples; all but that null below 3 samples."""
+    d = whole = valid(scores).persist()  # a row a sample, read four times
     for c in ("truth", "estimate"):
-        d = d.join(average_rank(d, c).withColumnRenamed("rank", f"rank_{c}"), c)
+        d = d.join(average_rank(whole, c).withColumnRenamed("rank", f"rank_{c}"), c)
     error = F.col("truth") - F.col("estimate")
-    return d.agg(
-        F.corr("estimate", "truth").alias("pearson"), F.pow(F.corr("estimate", "truth"), F.lit(2)).alias("r2"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error**2)).alias("rmse"),
+    out = d.agg(
+        F.count("*").cast("long").alias("n"), F.regr_slope("truth", "estimate").alias("slope"), F.regr_intercept("truth", "estimate").alias("intercept"), F.corr("estimate", "truth").alias("pearson"), F.pow(F.corr("estimate", "truth"), F.lit(2)).alias("r2"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error**2)).alias("rmse"),
         F.corr("rank_truth", "rank_estimate").alias("spearman"), F.avg(error).alias("mean_error"), F.stddev_samp(error).alias("sd_error"),
     )
+    return out.select(*(c if c == "n" else F.when(F.col("n") >= 3, F.col(c)).alias(c) for c in out.columns))
 
 
 def concordance(scores: DataFrame, percents=(1, 5, 10)) -> DataFrame:

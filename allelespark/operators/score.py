@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip_dosage, count_allele, id_key, locus_key
+from ..functions.exprs import clip_dosage, count_allele, genotype_group, hardy_weinberg_variance, id_key, locus_key, zygosity_dosage
 
 
 def panel_score(dosages: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -24,20 +24,83 @@ def panel_imputed_score(dosages: DataFrame, models: DataFrame) -> DataFrame:
     return target.groupBy("sample_idx").agg(F.sum(clip_dosage(F.col("x") + F.col("intercept")) * F.col("beta")).alias("score"))
 
 
-def resolve_uploads(calls: DataFrame, terms: DataFrame) -> DataFrame:
-    """(user_id, prs_row, status, genotype) of every user and term(prs_row, variant_id, chromosome, position): a call by the
-    id is preferred to one by the locus; different genotypes of the preferred kind are a duplicate_conflict."""
-    c = calls.select("user_id", id_key(F.col("raw_id")).alias("id"), locus_key(F.col("chromosome"), F.col("position")).alias("locus"), "genotype")
-    t = terms.select("prs_row", F.lower("variant_id").alias("id"), locus_key(F.col("chromosome"), F.col("position")).alias("locus"))
-    by_id = c.join(t.select("prs_row", "id"), "id").select("user_id", "prs_row", F.lit(0).alias("way"), "genotype")
-    by_locus = c.join(t.select("prs_row", "locus"), "locus").select("user_id", "prs_row", F.lit(1).alias("way"), "genotype")
-    found = by_id.union(by_locus).groupBy("user_id", "prs_row").agg(F.min(F.struct("way", "genotype")).alias("low"), F.min("way").alias("w"), F.max_by("genotype", F.struct(-F.col("way"), F.col("genotype"))).alias("high"))
-    return found.select("user_id", "prs_row", F.when(F.col("low.genotype") == F.col("high"), "resolved").otherwise("duplicate_conflict").alias("status"), F.when(F.col("low.genotype") == F.col("high"), F.col("low.genotype")).alias("genotype"))
+def _keys(*keys: tuple[int, Column]) -> Column:
+    """The keys that aren't null as (way, key) rows."""
+    return F.explode(F.filter(F.array(*(F.struct(F.lit(w).alias("way"), k.alias("key")) for w, k in keys)), lambda x: x["key"].isNotNull()))
 
 
-def upload_scores(calls: DataFrame, terms: DataFrame) -> DataFrame:
-    """(user_id, score, n_used, n_unresolved) over terms with an other allele; what isn't called or doesn't fit is unresolved."""
-    t = terms.filter("other_allele is not null")
-    r = resolve_uploads(calls, t).join(t.select("prs_row", "effect_allele", "other_allele", "beta"), "prs_row")
-    n = count_allele(F.col("genotype"), F.col("effect_allele"), F.col("other_allele"))
-    return r.withColumn("n", n).groupBy("user_id").agg(F.coalesce(F.sum(F.col("n") * F.col("beta")), F.lit(0.0)).alias("score"), F.count("n").cast("long").alias("n_used"), F.count(F.when(F.col("n").isNull(), 1)).cast("long").alias("n_unresolved"))
+def resolve_uploads(calls: DataFrame, terms: DataFrame, every: bool = False) -> DataFrame:
+    """(user_id, prs_row, status, genotype) of users and terms(prs_row, variant_id, chromosome, position and, if known,
+    effect_allele and other_allele).
+
+    A call whose id is the term's variant_id or chromosome:position:other:effect goes before calls at the term's locus.
+    Calls of the way chosen that differ in their alleles (AG, GA and A/G don't) or in their locus, where both have one, are a
+    duplicate_conflict. Without every, pairs without a call are left out; with it they are not_found, a row for each user
+    and term.
+    """
+    locus = F.when(F.col("chromosome").isNotNull() & F.col("position").isNotNull(), locus_key(F.col("chromosome"), F.col("position")))
+    c = calls.select("user_id", "genotype", locus.alias("locus"), _keys((0, F.lower("raw_id")), (1, locus)).alias("k")).select("user_id", "genotype", "locus", "k.*")
+    by_id = F.when(F.contains("variant_id", F.lit(":")), id_key(F.col("variant_id")))
+    full = F.lower(F.concat_ws(":", locus, "other_allele", "effect_allele")) if {"effect_allele", "other_allele"} <= set(terms.columns) else F.lit(None).cast("string")
+    t = terms.select("prs_row", _keys((0, F.lower("variant_id")), (0, full), (1, locus), (1, by_id)).alias("k")).select("prs_row", "k.*").distinct()
+    d = c.join(t, ["way", "key"]).withColumn("group", genotype_group(F.col("genotype")))
+    ways = []
+    for w in (0, 1):
+        here = F.col("way") == w
+        low, high = (f(F.when(here, F.col("group"))) for f in (F.min, F.max))
+        at, to = (f(F.when(here, F.col("locus"))) for f in (F.min, F.max))
+        same = (low == high) & F.coalesce(at == to, F.lit(True))
+        ways.append(F.when(F.count(F.when(here, 1)) > 0, F.struct(F.when(same, "resolved").otherwise("duplicate_conflict").alias("status"), F.when(same, F.min(F.when(here, F.col("genotype")))).alias("genotype"))))
+    found = d.groupBy("user_id", "prs_row").agg(F.coalesce(*ways).alias("r")).select("user_id", "prs_row", "r.status", "r.genotype")
+    if not every:
+        return found
+    grid = calls.select("user_id").distinct().crossJoin(terms.select("prs_row").distinct())
+    return grid.join(found, ["user_id", "prs_row"], "left").select("user_id", "prs_row", F.coalesce("status", F.lit("not_found")).alias("status"), "genotype")
+
+
+def upload_scores(calls: DataFrame, terms: DataFrame, allow_ambiguous: bool = True) -> DataFrame:
+    """(user_id, score, n_used, n_unresolved) of every user with a call; what isn't found, conflicts, isn't called, doesn't
+    fit or has no other allele is unresolved, counted without a row for each user and term."""
+    r = resolve_uploads(calls, terms).join(terms.filter("other_allele is not null").select("prs_row", "effect_allele", "other_allele", "beta"), "prs_row")
+    n = count_allele(F.col("genotype"), F.col("effect_allele"), F.col("other_allele"), allow_ambiguous=allow_ambiguous)
+    own = r.withColumn("n", n).groupBy("user_id").agg(F.sum(F.col("n") * F.col("beta")).alias("score"), F.count("n").cast("long").alias("n_used"))
+    d = calls.select("user_id").distinct().join(own, "user_id", "left").join(F.broadcast(terms.agg(F.count("*").cast("long").alias("n_terms"))))
+    used = F.coalesce("n_used", F.lit(0).cast("long"))
+    return d.select("user_id", F.coalesce("score", F.lit(0.0)).alias("score"), used.alias("n_used"), (F.col("n_terms") - used).alias("n_unresolved"))
+
+
+def legacy_dosages(calls: DataFrame) -> DataFrame:
+    """(user_id, variant_id, dosage): copies by zygosity, whichever allele they are of; of several calls of an id the one that
+    sorts last by chromosome, position and genotype stands."""
+    last = F.max_by("genotype", F.struct(F.coalesce("chromosome", F.lit("")), F.coalesce("position", F.lit(-1)), F.coalesce("genotype", F.lit(""))))
+    return calls.groupBy("user_id", F.col("raw_id").alias("variant_id")).agg(last.alias("g")).select("user_id", "variant_id", zygosity_dosage(F.col("g")).alias("dosage"))
+
+
+def legacy_observed(dosages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(user_id, score, n_used) over terms(variant_id, beta) whose id has a dosage."""
+    d = dosages.filter("dosage is not null").join(terms.select("variant_id", "beta"), "variant_id")
+    d = d.groupBy("user_id").agg(F.sum(F.col("dosage") * F.col("beta")).alias("score"), F.count("*").cast("long").alias("n_used"))
+    return dosages.select("user_id").distinct().join(d, "user_id", "left").na.fill({"score": 0.0, "n_used": 0})
+
+
+def legacy_imputed(dosages: DataFrame, models: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """(user_id, score, variance, n_truncated, n_models) over models(unit_id, intercept, beta, residual_variance,
+    allele_frequency) and coefficients(unit_id, variant_id, coefficient), all or nothing: a model of which any predictor is
+    missing predicts its intercept with the variance of the allele frequency. Sums at the intercept are formed once."""
+    from .predict import truncated_variance
+
+    full = coefficients.groupBy("unit_id").agg(F.count("*").alias("p"))
+    m = models.join(full, "unit_id", "left").withColumn("p", F.coalesce("p", F.lit(0)))
+
+    def term(d: DataFrame, raw: Column, var: Column) -> DataFrame:
+        d = d.withColumns({"_r": raw, "_v": var})
+        return d.withColumns({"term": clip_dosage(F.col("_r")) * F.col("beta"), "var": F.col("beta") ** 2 * truncated_variance(F.col("_r"), F.col("_v")), "cut": (clip_dosage(F.col("_r")) != F.col("_r")).cast("long")})
+
+    at_rest = term(m, F.col("intercept"), F.when(F.col("p") == 0, F.col("residual_variance")).otherwise(hardy_weinberg_variance(F.col("allele_frequency"))))
+    total = at_rest.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{c}") for c in ("term", "var", "cut")), F.count("*").cast("long").alias("n_models"))
+    d = dosages.filter("dosage is not null").join(coefficients, "variant_id").groupBy("user_id", "unit_id").agg(F.sum(F.col("dosage") * F.col("coefficient")).alias("x"), F.count("*").alias("seen"))
+    d = d.join(at_rest.select("unit_id", "p", "intercept", "beta", "residual_variance", *(F.col(c).alias(f"rest_{c}") for c in ("term", "var", "cut"))), "unit_id").filter("seen = p")
+    d = term(d, F.col("intercept") + F.col("x"), F.col("residual_variance"))
+    own = d.groupBy("user_id").agg(*(F.sum(F.col(c) - F.col(f"rest_{c}")).alias(c) for c in ("term", "var", "cut")))
+    out = dosages.select("user_id").distinct().join(own, "user_id", "left").join(F.broadcast(total))
+    return out.select("user_id", *((F.coalesce(c, F.lit(0)) + F.col(f"all_{c}")).alias(a) for c, a in (("term", "score"), ("var", "variance"), ("cut", "n_truncated"))), "n_models")

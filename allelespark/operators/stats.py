@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hardy_weinberg_variance
@@ -31,20 +31,39 @@ def train_moments(moments: DataFrame) -> DataFrame:
     return moments.join(total, "variant_idx").select("variant_idx", "fold", (F.col("tn") - F.col("n")).alias("n"), (F.col("tt") - F.col("total")).alias("total"), (F.col("ts") - F.col("squares")).alias("squares"))
 
 
+def frequencies(panel: DataFrame) -> DataFrame:
+    """allele_frequency() of a packed panel(variant_idx, d), without a shuffle."""
+    called = F.filter("d", lambda x: x.isNotNull())
+    n = F.size(called).cast("long")
+    mean = F.coalesce(F.try_divide(F.aggregate(called, F.lit(0.0), lambda a, x: a + x), n), F.lit(0.0))
+    d = panel.select("variant_idx", n.alias("n_called"), mean.alias("mean"))
+    return d.withColumn("allele_frequency", F.col("mean") / 2).withColumn("hwe_variance", hardy_weinberg_variance(F.col("allele_frequency")))
+
+
+def filled(panel: DataFrame) -> DataFrame:
+    """A packed panel with missing cells at the variant's mean, 0 where nothing is called; nothing is shuffled."""
+    called = F.filter("d", lambda x: x.isNotNull())
+    d = panel.withColumn("_m", F.coalesce(F.try_divide(F.aggregate(called, F.lit(0.0), lambda a, x: a + x), F.size(called)), F.lit(0.0)))
+    return d.withColumn("d", F.transform("d", lambda x: F.coalesce(x.cast("double"), F.col("_m")))).drop("_m")
+
+
+def _dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+
 def cross_products(full: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(target_idx, predictor_idx) with n and sum of the products of their dosages over samples."""
-    packed = full.groupBy("variant_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "dosage"))), lambda x: x["dosage"]).alias("d"))
-    t, p = packed.select(F.col("variant_idx").alias("target_idx"), F.col("d").alias("y")), packed.select(F.col("variant_idx").alias("predictor_idx"), F.col("d").alias("z"))
-    product = F.aggregate(F.zip_with("y", "z", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return pairs.join(t, "target_idx").join(p, "predictor_idx").select("target_idx", "predictor_idx", F.size("y").cast("long").alias("n"), product.alias("product"))
+    """pairs(target_idx, predictor_idx) with n, the sum of the products of their dosages over the samples, both sums and sums
+    of squares, for a filled packed panel(variant_idx, d)."""
+    one = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
+    m = full.select("variant_idx", "d", one.alias("s"), _dot("d", "d").alias("q"))
+    t = m.select(F.col("variant_idx").alias("target_idx"), F.col("d").alias("y"), F.col("s").alias("ys"), F.col("q").alias("yq"))
+    p = m.select(F.col("variant_idx").alias("predictor_idx"), F.col("d").alias("z"), F.col("s").alias("zs"), F.col("q").alias("zq"))
+    return pairs.join(t, "target_idx").join(p, "predictor_idx").select("target_idx", "predictor_idx", F.size("y").cast("long").alias("n"), _dot("y", "z").alias("product"), "ys", "yq", "zs", "zq")
 
 
 def single_predictor_fits(full: DataFrame, pairs: DataFrame, alpha: float, l1_ratio: float) -> DataFrame:
     """Closed-form elastic net of each target on its one predictor: (target_idx, predictor_idx, coefficient, intercept, r2)."""
-    m = full.groupBy("variant_idx").agg(F.sum("dosage").alias("s"), F.sum(F.col("dosage") * F.col("dosage")).alias("q"))
     x = cross_products(full, pairs)
-    x = x.join(m.select(F.col("variant_idx").alias("target_idx"), F.col("s").alias("ys"), F.col("q").alias("yq")), "target_idx")
-    x = x.join(m.select(F.col("variant_idx").alias("predictor_idx"), F.col("s").alias("zs"), F.col("q").alias("zq")), "predictor_idx")
     x = x.withColumns({"sd": F.sqrt(F.greatest(F.col("zq") / F.col("n") - (F.col("zs") / F.col("n")) ** 2, F.lit(0.0)))})
     x = x.withColumn("sd", F.when(F.col("sd") < 1e-8, 1.0).otherwise(F.col("sd")))
     x = x.withColumns({"g": (F.col("zq") - F.col("zs") ** 2 / F.col("n")) / F.col("sd") ** 2, "c": (F.col("product") - F.col("zs") * F.col("ys") / F.col("n")) / F.col("sd")})

@@ -1,26 +1,29 @@
-"""The derived panel: genotype tables computed from customers and parts, in SQL that Spark and DuckDB read alike."""
+"""The derived panel: genotype tables computed from all suppliers (samples) and all parts (variants), in SQL that Spark and
+DuckDB read alike. It grows with both tables: 200 x 10 cells at sf0.001, 20 000 x 1 000 at sf0.1."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+CELL = """CASE WHEN (sample_idx * 13 + variant_idx * 7) % 53 = 0 THEN NULL ELSE
+    CASE WHEN (sample_idx * 7919 + CAST(floor(variant_idx / 6.0) AS BIGINT) * 1047
+          + CASE WHEN (sample_idx * 31 + variant_idx * 17) % 11 < 2 THEN 29 ELSE 0 END) % 97 < 30 THEN 1 ELSE 0 END
+  + CASE WHEN (sample_idx * 6101 + CAST(floor(variant_idx / 6.0) AS BIGINT) * 2099
+          + CASE WHEN (sample_idx * 37 + variant_idx * 19) % 13 < 2 THEN 31 ELSE 0 END) % 89 < 30 THEN 1 ELSE 0 END
+  END"""
+
+#: Names in braces stand for tables: the driver's own and earlier views.
 VIEWS = {
     "panel_meta": """
 SELECT p_partkey AS variant_idx, 'rs' || CAST(p_partkey AS STRING) AS variant_id,
-  CASE WHEN p_partkey < 100 THEN '1' WHEN p_partkey < 160 THEN 'chr2' ELSE 'MT' END AS chromosome,
-  100000 + (p_partkey % 100) * 5000 AS position,
+  CASE c WHEN 2 THEN 'MT' WHEN 3 THEN 'X' ELSE CASE WHEN c % 2 = 1 THEN 'chr' ELSE '' END || CAST(c + 1 AS STRING) END AS chromosome,
+  100000 + (CAST(floor(p_partkey / 2200.0) AS BIGINT) * 100 + p_partkey % 100) * 5000 AS position,
   CASE p_partkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' WHEN 3 THEN 'A' ELSE 'C' END AS ref_allele,
   CASE p_partkey % 5 WHEN 0 THEN 'G' WHEN 1 THEN 'T' WHEN 2 THEN 'T' WHEN 3 THEN 'T' ELSE 'G' END AS alt_allele
-FROM part WHERE p_partkey < 200""",
-    "dosages": """
-SELECT c_custkey AS sample_idx, variant_idx,
-  CASE WHEN (c_custkey * 13 + variant_idx * 7) % 53 = 0 THEN NULL ELSE
-    CASE WHEN (c_custkey * 7919 + CAST(floor(variant_idx / 6.0) AS BIGINT) * 1047
-          + CASE WHEN (c_custkey * 31 + variant_idx * 17) % 11 < 2 THEN 29 ELSE 0 END) % 97 < 30 THEN 1 ELSE 0 END
-  + CASE WHEN (c_custkey * 6101 + CAST(floor(variant_idx / 6.0) AS BIGINT) * 2099
-          + CASE WHEN (c_custkey * 37 + variant_idx * 19) % 13 < 2 THEN 31 ELSE 0 END) % 89 < 30 THEN 1 ELSE 0 END
-  END AS dosage
-FROM customer CROSS JOIN panel_meta WHERE c_custkey < 150""",
+FROM (SELECT p_partkey, CAST(floor(p_partkey / 100.0) AS BIGINT) % 22 AS c FROM {part}) p""",
+    "dosages": f"""
+SELECT sample_idx, variant_idx, {CELL} AS dosage
+FROM (SELECT s_suppkey AS sample_idx FROM {{supplier}}) s CROSS JOIN (SELECT variant_idx FROM {{panel_meta}}) v""",
     "prs": """
 SELECT variant_idx AS prs_row, variant_id, chromosome,
   position + CASE WHEN variant_idx % 13 = 5 THEN 1 ELSE 0 END AS position,
@@ -31,23 +34,33 @@ SELECT variant_idx AS prs_row, variant_id, chromosome,
        WHEN variant_idx % 7 = 3 THEN alt_allele WHEN variant_idx % 7 = 4 THEN translate(ref_allele, 'ACGT', 'TGCA')
        WHEN variant_idx % 7 = 5 THEN translate(alt_allele, 'ACGT', 'TGCA') ELSE ref_allele END AS other_allele,
   CAST(variant_idx * 37 % 41 - 20 AS DOUBLE) / 100 AS beta
-FROM panel_meta WHERE variant_idx % 5 < 3""",
+FROM {panel_meta} WHERE variant_idx % 5 < 3""",
     "platform": """
-SELECT CASE WHEN variant_idx % 4 = 1 THEN chromosome || ':' || CAST(position AS STRING) ELSE variant_id END AS id
-FROM panel_meta WHERE variant_idx % 3 <> 2""",
+SELECT CASE WHEN variant_idx % 4 = 1 AND chromosome NOT LIKE 'chr%' THEN chromosome || ':' || CAST(position AS STRING) ELSE variant_id END AS id
+FROM {panel_meta} WHERE variant_idx % 3 <> 2""",
+    # every tenth call or so comes twice: with its alleles turned round, with another genotype, or at another locus
     "user_calls": """
-SELECT d.sample_idx AS user_id, m.variant_id AS raw_id, m.chromosome, m.position,
-  CASE WHEN d.dosage IS NULL THEN '--' ELSE repeat(m.ref_allele, CAST(2 - d.dosage AS INT)) || repeat(m.alt_allele, CAST(d.dosage AS INT)) END AS genotype
-FROM dosages d JOIN panel_meta m ON d.variant_idx = m.variant_idx WHERE d.sample_idx < 20 AND m.variant_idx % 3 <> 2""",
+SELECT user_id, variant_id AS raw_id, chromosome, position + CASE WHEN again = 3 THEN 7 ELSE 0 END AS position,
+  CASE WHEN dosage IS NULL THEN '--' WHEN again = 1 AND variant_idx % 2 = 0 THEN alt || '/' || ref WHEN again = 1 THEN alt || ref WHEN again = 2 THEN alt_allele || alt_allele ELSE ref || alt END AS genotype
+FROM (SELECT d.sample_idx AS user_id, m.variant_idx, m.variant_id, m.chromosome, m.position, m.alt_allele, d.dosage, r.again,
+    CASE WHEN d.dosage = 2 THEN m.alt_allele ELSE m.ref_allele END AS ref, CASE WHEN d.dosage = 0 THEN m.ref_allele ELSE m.alt_allele END AS alt
+  FROM {dosages} d JOIN {panel_meta} m ON d.variant_idx = m.variant_idx
+  JOIN (SELECT 0 AS again, 0 AS k UNION ALL SELECT 1, 3 UNION ALL SELECT 2, 5 UNION ALL SELECT 3, 7) r ON r.again = 0 OR m.variant_idx % 23 = r.k
+  WHERE m.variant_idx % 3 <> 2) c""",
 }
 
+NAMES = {n: n for n in ("part", "supplier", *VIEWS)}
 #: The views as common table expressions, before an oracle's own.
-WITH = "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in VIEWS.items())
+WITH = "WITH " + ",\n".join(f"{name} AS ({sql.format(**NAMES)})" for name, sql in VIEWS.items())
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    for t in ("part", "customer"):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    """The views, and panel: a row a variant with d, its samples' dosages in the order of samples(at, sample_idx)."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("part", "supplier")}
     for name, sql in VIEWS.items():
-        spark.sql(sql).createOrReplaceTempView(name)
-    return {name: spark.table(name) for name in VIEWS}
+        t[name] = spark.sql(sql, **{k: v for k, v in t.items() if f"{{{k}}}" in sql})
+    ids = "(SELECT array_sort(collect_list(s_suppkey)) AS ids FROM {supplier})"
+    cells = f"SELECT m.*, transform(ids, sample_idx -> CAST({CELL} AS FLOAT)) AS d FROM {{panel_meta}} m CROSS JOIN {ids} s"
+    t["panel"] = spark.sql(cells, panel_meta=t["panel_meta"].repartition(spark.sparkContext.defaultParallelism), supplier=t["supplier"])
+    t["samples"] = spark.sql(f"SELECT posexplode(ids) AS (at, sample_idx) FROM {ids}", supplier=t["supplier"])
+    return t

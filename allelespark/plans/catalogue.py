@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.solver import truncated_normal
-from ..operators import fit, harmonize, metrics, ranges, score, stats
+from ..operators import blocks, harmonize, metrics, ranges, score, stats, tiles
+from ..sources import exports
 from .adapter import WITH, tables
 
 QUERIES: dict = {}
@@ -16,9 +17,11 @@ ORACLE: dict[str, str] = {}
 
 WINDOW = 12_500
 ALPHA, L1 = 0.01, 0.5
+BETA = "(target_idx * 37 % 41 - 20) / 100.0D"
 
 # Common table expressions of the oracles, after the views'.
 NORM = "CASE WHEN regexp_replace(upper({0}), '^CHR', '') = 'MT' THEN 'M' ELSE regexp_replace(upper({0}), '^CHR', '') END"
+PLACE = "CASE {0} WHEN 'X' THEN 23 WHEN 'Y' THEN 24 WHEN 'M' THEN 25 ELSE CAST({0} AS INT) END"
 META = f"m AS (SELECT variant_idx, variant_id, {NORM.format('chromosome')} AS chromosome, position, ref_allele, alt_allele FROM panel_meta)"
 KEYS = f"""k AS (SELECT DISTINCT CASE WHEN id LIKE 'rs%' THEN lower(id) ELSE {NORM.format("split_part(id, ':', 1)")} || ':' || split_part(id, ':', 2) END AS key FROM platform),
 part AS (SELECT p.*, {NORM.format('p.chromosome')} || ':' || CAST(p.position AS VARCHAR) AS locus FROM prs p),
@@ -64,7 +67,7 @@ def query(sql: str | None = None, *parts: str):
     """Registers a query under its function's name and its oracle: the views, then parts, then sql."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f({k: v for k, v in tables(spark, sf_dir).items()})
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(tables(spark, sf_dir))
         if sql is not None:
             ORACLE[f.__name__] = ",\n".join([WITH, *parts]) + "\n" + sql
         return f
@@ -82,23 +85,24 @@ def _pairs(t) -> DataFrame:
 
 
 def _single(t) -> DataFrame:
-    return stats.single_predictor_fits(stats.imputed(t["dosages"]), ranges.nearest(_pairs(t), 1), ALPHA, L1)
+    return stats.single_predictor_fits(stats.filled(t["panel"]), ranges.nearest(_pairs(t), 1), ALPHA, L1)
 
 
 def _scores(t) -> DataFrame:
-    beta = F.expr("(target_idx * 37 % 41 - 20) / 100.0D")
-    full = stats.imputed(t["dosages"])
-    est = score.panel_imputed_score(full, _single(t).withColumn("beta", beta)).withColumnRenamed("score", "estimate")
-    terms = _single(t).select(F.col("target_idx").alias("variant_idx"), F.lit(False).alias("flip"), beta.alias("beta"))
-    true = score.panel_score(full, terms).select("sample_idx", F.col("score").alias("truth"))
-    return true.join(est, "sample_idx").select("sample_idx", F.round("truth", 9).alias("truth"), F.round("estimate", 9).alias("estimate"))
+    s = _single(t).join(_panel(t).select(F.col("variant_idx").alias("target_idx"), "chromosome", "position"), "target_idx").withColumn("beta", F.expr(BETA))
+    full = stats.filled(t["panel"])
+    models = s.select(F.col("target_idx").alias("unit_id"), "chromosome", "position", "intercept", "beta")
+    est = tiles.estimate_tiles(full, models, s.select(F.col("target_idx").alias("unit_id"), "predictor_idx", "coefficient"), 100 * WINDOW)
+    true = tiles.weighted_sum(full, s.select(F.col("target_idx").alias("variant_idx"), F.col("beta").alias("weight"), F.lit(False).alias("flip")))
+    d = est.select("at", F.round("value", 9).alias("estimate")).join(true.select("at", F.round("value", 9).alias("truth")), "at")
+    return d.join(t["samples"], "at").select("sample_idx", "truth", "estimate").persist()  # a row a sample, read again by every metric
 
 
 def _rounded(df: DataFrame, *cols: str, to: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, to) for c in cols})
+    return df.withColumns({c: F.round(c, to) + 0.0 for c in cols})  # + 0.0: no -0.0
 
 
-@query(f"SELECT variant_id, {NORM.format('chromosome')} AS chromosome, CASE chromosome WHEN '1' THEN 1 WHEN 'chr2' THEN 2 ELSE 25 END AS place, {NORM.format('chromosome')} || ':' || CAST(position AS VARCHAR) AS locus FROM panel_meta")
+@query(f"SELECT variant_id, chromosome, {PLACE.format('chromosome')} AS place, chromosome || ':' || CAST(position AS VARCHAR) AS locus FROM m", META)
 def normalize_variants(t):
     c = X.normalize_chromosome(F.col("chromosome"))
     return t["panel_meta"].select("variant_id", c.alias("chromosome"), X.chromosome_order(c).alias("place"), X.locus_key(F.col("chromosome"), F.col("position")).alias("locus"))
@@ -111,14 +115,14 @@ def complement_ambiguous(t):
     return t["prs"].select("variant_id", X.complement(e).alias("other_strand"), X.is_ambiguous(e, o).alias("ambiguous"), X.is_allele(o).alias("valid_other"))
 
 
-DIRTY = "dirty AS (SELECT * FROM prs UNION ALL SELECT prs_row + 1000, variant_id, chromosome, position, effect_allele, other_allele, beta + CASE WHEN prs_row % 15 = 0 THEN 0.5 ELSE 0 END FROM prs WHERE prs_row % 5 = 0)"
+DIRTY = "dirty AS (SELECT * FROM prs UNION ALL SELECT prs_row + 1000000, variant_id, chromosome, position, effect_allele, other_allele, beta + CASE WHEN prs_row % 15 = 0 THEN 0.5 ELSE 0 END FROM prs WHERE prs_row % 5 = 0)"
 
 
 @query("""SELECT prs_row, variant_id, beta FROM (SELECT *, min(beta) OVER w AS low, max(beta) OVER w AS high, row_number() OVER (w ORDER BY prs_row) AS rn FROM dirty
   WINDOW w AS (PARTITION BY variant_id, chromosome, position, effect_allele, other_allele)) WHERE low = high AND rn = 1""", DIRTY)
 def score_dedup_conflicts(t):
     p = t["prs"]
-    again = p.filter("prs_row % 5 = 0").withColumns({"prs_row": F.col("prs_row") + 1000, "beta": F.col("beta") + F.when(F.col("prs_row") % 15 == 0, 0.5).otherwise(0.0)})
+    again = p.filter("prs_row % 5 = 0").withColumns({"prs_row": F.col("prs_row") + 1_000_000, "beta": F.col("beta") + F.when(F.col("prs_row") % 15 == 0, 0.5).otherwise(0.0)})
     return harmonize.dedup_score(p.unionByName(again)).select("prs_row", "variant_id", "beta")
 
 
@@ -215,7 +219,7 @@ def train_minus_fold_moments(t):
 
 @query("SELECT target_idx, predictor_idx, CAST(n AS BIGINT) AS n, round(product, 6) AS product FROM xp", SINGLE.format(l1=0, l2=0))
 def cross_products(t):
-    return _rounded(stats.cross_products(stats.imputed(t["dosages"]), ranges.nearest(_pairs(t), 1)), "product")
+    return _rounded(stats.cross_products(stats.filled(t["panel"]), ranges.nearest(_pairs(t), 1)).select("target_idx", "predictor_idx", "n", "product"), "product")
 
 
 @query("SELECT target_idx, predictor_idx, round(coefficient, 6) AS coefficient, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM single", ENET)
@@ -225,46 +229,38 @@ def enet_single_predictor(t):
 
 @query("SELECT target_idx, predictor_idx, round(coefficient, 6) AS coefficient, round(intercept, 6) AS intercept FROM single", SINGLE.format(l1=0, l2=ALPHA))
 def ridge_single_predictor(t):
-    return _rounded(stats.single_predictor_fits(stats.imputed(t["dosages"]), ranges.nearest(_pairs(t), 1), ALPHA, 0.0).drop("r2"), "coefficient", "intercept")
+    return _rounded(stats.single_predictor_fits(stats.filled(t["panel"]), ranges.nearest(_pairs(t), 1), ALPHA, 0.0).drop("r2"), "coefficient", "intercept")
 
 
-def _units(t):
-    full = stats.imputed(t["dosages"])
-    panel = fit.packed(full)
-    targets = panel.filter("variant_idx % 3 = 2").select(F.col("variant_idx").alias("unit_id"), F.col("d").alias("y"))
-    return targets, ranges.nearest(_pairs(t), 4).select(F.col("target_idx").alias("unit_id"), "predictor_idx"), panel
+def _targets(t) -> tuple[DataFrame, DataFrame]:
+    """The chip of the panel and the variants off it as units."""
+    p = t["panel"].withColumn("chromosome", X.normalize_chromosome(F.col("chromosome"))).select("variant_idx", "chromosome", "position", "d")
+    return p.filter("variant_idx % 3 <> 2"), p.filter("variant_idx % 3 = 2").select(F.col("variant_idx").alias("unit_id"), "variant_idx", "chromosome", "position", F.col("d").alias("y"))
 
 
 @query()
 def impute_models(t):
-    return fit.fit_units(*_units(t)).drop("held_out")
+    return tiles.fit_tiles(*_targets(t), WINDOW, 4)
 
 
-@query()
-def region_models(t):
+def _regions(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merged regions, their members and the sum of their members' terms by sample."""
     p = _panel(t)
     regions = ranges.merge_windows(p.filter("variant_idx % 3 = 2"), WINDOW)
-    unit = F.col("region") + F.hash("chromosome").cast("long") * 1000
-    members = ranges.region_predictors(regions, p.filter("variant_idx % 3 = 2")).select(unit.alias("region_id"), F.col("predictor_idx").alias("variant_idx"), F.expr("(predictor_idx * 37 % 41 - 20) / 100.0D").alias("beta"), F.lit(False).alias("flip"))
-    full = stats.imputed(t["dosages"])
-    y = fit.region_contribution(full, members).groupBy(F.col("region_id").alias("unit_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "contribution"))), lambda x: x["contribution"]).alias("y"))
-    pairs = ranges.region_predictors(regions, p.filter("variant_idx % 3 <> 2"), k=20).select(unit.alias("unit_id"), "predictor_idx")
-    return fit.fit_units(y, pairs, fit.packed(full)).drop("held_out")
+    unit = (F.col("region") + X.chromosome_order(F.col("chromosome")) * 1_000_000).cast("long")
+    members = ranges.region_predictors(regions, p.filter("variant_idx % 3 = 2")).select(unit.alias("unit_id"), F.col("predictor_idx").alias("variant_idx"), F.expr(BETA.replace("target_idx", "predictor_idx")).alias("beta"), (F.col("predictor_idx") % 2 == 0).alias("flip"))
+    return ranges.region_predictors(regions, p.filter("variant_idx % 3 <> 2"), k=20).select(unit.alias("unit_id"), "predictor_idx"), members, tiles.region_targets(t["panel"], members)
 
 
 @query()
-def grid_search_best(t):
-    return fit.grid_search(*_units(t), l1_ratios=(0.1, 0.9), alphas=(0.01, 0.1))
+def region_models(t):
+    pairs, _, y = _regions(t)
+    return blocks.solve_blocks(blocks.collect_blocks(y, pairs, stats.filled(t["panel"]))).drop("point")
 
 
 @query()
-def cross_validate_metrics(t):
-    m = fit.fit_units(*_units(t)).select(F.expr("(unit_id * 37 % 41 - 20) / 100.0D").alias("beta"), F.col("unit_id").alias("variant_idx"), F.posexplode("held_out").alias("at", "x"))
-    est = m.groupBy("at").agg(F.sum(F.col("x") * F.col("beta")).alias("estimate"))
-    full = stats.imputed(t["dosages"]).filter("variant_idx % 3 = 2")
-    true = full.groupBy("sample_idx").agg(F.sum(F.col("dosage") * F.expr("(variant_idx * 37 % 41 - 20) / 100.0D")).alias("truth"))
-    true = true.withColumn("at", F.row_number().over(Window.orderBy("sample_idx")) - 1)
-    return metrics.calibration(true.join(est, "at"))
+def grid_search_best(t):
+    return blocks.best_penalties(blocks.solve_blocks(tiles.collect_tiles(*_targets(t), WINDOW, 4), (0.1, 0.9), (0.01, 0.1)))
 
 
 @query("SELECT tier, CAST(count(*) AS BIGINT) AS n, round(avg(r2), 6) AS mean_r2, round(min(r2), 6) AS min_r2, round(max(r2), 6) AS max_r2 FROM (SELECT *, CASE WHEN r2 > 0.8 THEN 'high' WHEN r2 > 0.6 THEN 'good' WHEN r2 > 0.4 THEN 'moderate' ELSE 'low' END AS tier FROM single) GROUP BY tier", ENET)
@@ -272,18 +268,24 @@ def quality_tiers(t):
     return _rounded(_single(t).groupBy(X.quality_tier(F.col("r2")).alias("tier")).agg(F.count("*").cast("long").alias("n"), F.avg("r2").alias("mean_r2"), F.min("r2").alias("min_r2"), F.max("r2").alias("max_r2")), "mean_r2", "min_r2", "max_r2")
 
 
-@query("SELECT round(avg(r2), 6) AS mean_r2, round(median(r2), 6) AS median_r2, round(stddev_pop(r2), 6) AS sd_r2, CAST(count(*) FILTER (r2 > 0.8) AS BIGINT) AS n_high, CAST(count(*) FILTER (r2 > 0.4 AND r2 <= 0.8) AS BIGINT) AS n_mid, CAST(count(*) FILTER (r2 <= 0.4) AS BIGINT) AS n_low FROM single", ENET)
+@query("""SELECT CAST(count(*) AS BIGINT) AS n_models, CAST(count(*) FILTER (r2 > 0.8) AS BIGINT) AS n_high, CAST(count(*) FILTER (r2 > 0.6 AND r2 <= 0.8) AS BIGINT) AS n_good, CAST(count(*) FILTER (r2 > 0.4 AND r2 <= 0.6) AS BIGINT) AS n_moderate,
+  CAST(count(*) FILTER (r2 <= 0.4) AS BIGINT) AS n_low, round(avg(r2), 6) AS mean_r2, round(median(r2), 6) AS median_r2, round(min(r2), 6) AS min_r2, round(max(r2), 6) AS max_r2, round(sum(r2 * abs(target_idx * 37 % 41 - 20)) / sum(abs(target_idx * 37 % 41 - 20)), 6) AS weighted_r2 FROM single""", ENET)
+def imputation_quality(t):
+    return _rounded(metrics.quality_summary(_single(t).withColumn("beta", F.expr(BETA))), "mean_r2", "median_r2", "min_r2", "max_r2", "weighted_r2")
+
+
+@query("SELECT round(avg(r2), 6) AS mean_r2, round(median(r2), 6) AS median_r2, round(stddev_pop(r2), 6) AS sd_r2, round(min(r2), 6) AS min_r2, round(max(r2), 6) AS max_r2, 1.0::DOUBLE AS mean_predictors, CAST(count(*) FILTER (r2 > 0.8) AS BIGINT) AS n_high, CAST(count(*) FILTER (r2 > 0.4 AND r2 <= 0.8) AS BIGINT) AS n_mid, CAST(count(*) FILTER (r2 <= 0.4) AS BIGINT) AS n_low FROM single", ENET)
 def impute_training_summary(t):
     when = lambda c: F.count(F.when(F.expr(c), 1)).cast("long")
-    return _rounded(_single(t).agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.stddev_pop("r2").alias("sd_r2"), when("r2 > 0.8").alias("n_high"), when("r2 > 0.4 and r2 <= 0.8").alias("n_mid"), when("r2 <= 0.4").alias("n_low")), "mean_r2", "median_r2", "sd_r2")
+    return _rounded(_single(t).agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.stddev_pop("r2").alias("sd_r2"), F.min("r2").alias("min_r2"), F.max("r2").alias("max_r2"), F.avg(F.lit(1.0)).alias("mean_predictors"), when("r2 > 0.8").alias("n_high"), when("r2 > 0.4 and r2 <= 0.8").alias("n_mid"), when("r2 <= 0.4").alias("n_low")), "mean_r2", "median_r2", "sd_r2", "min_r2", "max_r2")
 
 
-@query("SELECT sample_idx, round(score, 6) AS score, CAST(n_used AS BIGINT) AS n_used FROM truth", RESOLVED, TRUE)
+@query("SELECT sample_idx, round(score, 6) + 0.0 AS score, CAST(n_used AS BIGINT) AS n_used FROM truth", RESOLVED, TRUE)
 def panel_true_score(t):
     return _rounded(score.panel_score(t["dosages"], harmonize.resolve_alleles(t["prs"], t["panel_meta"])), "score")
 
 
-@query("SELECT d.sample_idx, round(sum(coalesce(CASE WHEN flip THEN 2 - dosage ELSE dosage END * o.beta, 0)), 6) AS score, CAST(count(dosage) AS BIGINT) AS n_used FROM dosages d JOIN oriented o ON d.variant_idx = o.variant_idx JOIN matched USING (prs_row) WHERE matched_by IS NOT NULL GROUP BY d.sample_idx", KEYS, RESOLVED)
+@query("SELECT d.sample_idx, round(sum(coalesce(CASE WHEN flip THEN 2 - dosage ELSE dosage END * o.beta, 0)), 6) + 0.0 AS score, CAST(count(dosage) AS BIGINT) AS n_used FROM dosages d JOIN oriented o ON d.variant_idx = o.variant_idx JOIN matched USING (prs_row) WHERE matched_by IS NOT NULL GROUP BY d.sample_idx", KEYS, RESOLVED)
 def panel_observed_score(t):
     r = harmonize.resolve_alleles(t["prs"], t["panel_meta"])
     seen = harmonize.partition_by_platform(t["prs"], t["platform"]).filter("matched_by is not null").select("prs_row")
@@ -305,11 +307,11 @@ def calibration_params(t):
 
 
 @query("""SELECT round(corr(estimate, truth), 6) AS pearson, round(pow(corr(estimate, truth), 2), 6) AS r2, round(avg(abs(estimate - truth)), 6) AS mae, round(sqrt(avg(pow(estimate - truth, 2))), 6) AS rmse, round(corr(rt, re), 6) AS spearman,
-  round(avg(truth - estimate), 6) + 0.0 AS mean_error, round(stddev_samp(truth - estimate), 6) AS sd_error FROM (
+  round(avg(truth - estimate), 6) + 0.0 AS mean_error, round(stddev_samp(truth - estimate), 6) AS sd_error, round(regr_slope(truth, estimate), 6) AS slope, round(regr_intercept(truth, estimate), 6) + 0.0 AS intercept, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT *, rank() OVER (ORDER BY truth) + (count(*) OVER (PARTITION BY truth) - 1) / 2.0 AS rt, rank() OVER (ORDER BY estimate) + (count(*) OVER (PARTITION BY estimate) - 1) / 2.0 AS re FROM scores)""", PREDICTED)
 def prs_metrics(t):
     d = metrics.agreement(_scores(t))
-    return _rounded(d, *d.columns).withColumn("mean_error", F.col("mean_error") + 0.0)  # no -0.0
+    return _rounded(d, *(c for c in d.columns if c != "n"))
 
 
 @query("""SELECT CAST(p AS DOUBLE) AS percent, round(count(*) FILTER (truth >= th AND estimate >= eh) / count(*) FILTER (estimate >= eh), 6) AS top, round(count(*) FILTER (truth <= tl AND estimate <= el) / count(*) FILTER (estimate <= el), 6) AS bottom
@@ -329,25 +331,34 @@ def quintile_kappa(t):
     return _rounded(metrics.quintile_kappa(_scores(t)), "kappa")
 
 
-UPLOAD = f"""calls AS (SELECT user_id, lower(raw_id) AS id, {NORM.format('chromosome')} || ':' || CAST(position AS VARCHAR) AS locus, genotype FROM user_calls),
-terms AS (SELECT p.*, lower(variant_id) AS id, {NORM.format('chromosome')} || ':' || CAST(position AS VARCHAR) AS locus FROM prs p),
-hits AS (SELECT user_id, prs_row, min(way) AS w FROM (SELECT user_id, prs_row, CASE WHEN c.id = t.id THEN 0 ELSE 1 END AS way FROM calls c JOIN terms t ON c.id = t.id OR c.locus = t.locus) GROUP BY ALL),
-found AS (SELECT h.user_id, h.prs_row, min(genotype) AS lo, max(genotype) AS hi FROM hits h JOIN terms t USING (prs_row) JOIN calls c ON c.user_id = h.user_id AND (CASE WHEN w = 0 THEN c.id = t.id ELSE c.locus = t.locus END) GROUP BY ALL)"""
+def upload(name: str, terms: str) -> str:
+    """Common table expressions: what every user's calls hold for terms(prs_row, variant_id, chromosome, position)."""
+    return f"""{name}_terms AS (SELECT prs_row, lower(variant_id) AS id, {NORM.format('chromosome')} || ':' || CAST(position AS VARCHAR) AS locus FROM ({terms})),
+{name}_calls AS (SELECT user_id, lower(raw_id) AS id, {NORM.format('chromosome')} || ':' || CAST(position AS VARCHAR) AS locus, genotype, upper(replace(genotype, '/', '')) AS g FROM user_calls),
+{name}_sorted AS (SELECT *, CASE WHEN g = '--' THEN g ELSE least(g[1], g[2]) || greatest(g[1], g[2]) END AS canon FROM {name}_calls),
+{name}_hits AS (SELECT user_id, prs_row, 0 AS way, canon, c.locus, genotype FROM {name}_sorted c JOIN {name}_terms t ON c.id = t.id
+  UNION ALL SELECT user_id, prs_row, 1, canon, c.locus, genotype FROM {name}_sorted c JOIN {name}_terms t ON c.locus = t.locus),
+{name}_way AS (SELECT user_id, prs_row, min(way) AS way FROM {name}_hits GROUP BY ALL),
+{name} AS (SELECT h.user_id, h.prs_row, CASE WHEN min(canon) = max(canon) AND min(locus) = max(locus) THEN min(canon) END AS canon, CASE WHEN min(canon) = max(canon) AND min(locus) = max(locus) THEN min(genotype) END AS genotype
+  FROM {name}_hits h JOIN {name}_way w ON h.user_id = w.user_id AND h.prs_row = w.prs_row AND h.way = w.way GROUP BY ALL)"""
+
 
+UPLOAD = upload("found", "SELECT * FROM prs")
+EVERYONE = "users AS (SELECT DISTINCT user_id FROM user_calls)"
 
-@query("SELECT user_id, prs_row, CASE WHEN lo = hi THEN 'resolved' ELSE 'duplicate_conflict' END AS status, CASE WHEN lo = hi THEN lo END AS genotype FROM found", UPLOAD)
+
+@query("SELECT u.user_id, p.prs_row, CASE WHEN f.prs_row IS NULL THEN 'not_found' WHEN canon IS NULL THEN 'duplicate_conflict' ELSE 'resolved' END AS status, genotype FROM users u CROSS JOIN prs p LEFT JOIN found f ON f.user_id = u.user_id AND f.prs_row = p.prs_row", UPLOAD, EVERYONE)
 def user_resolution_status(t):
-    return score.resolve_uploads(t["user_calls"], t["prs"])
+    return score.resolve_uploads(t["user_calls"], t["prs"], every=True)
 
 
-COUNTED = """counted AS (SELECT f.user_id, f.prs_row, t.beta, CASE WHEN lo <> hi OR lo = '--' OR effect_allele = other_allele THEN NULL
-    WHEN replace(replace(lo, effect_allele, ''), other_allele, '') = '' AND length(other_allele) = 1 THEN length(lo) - length(replace(lo, effect_allele, ''))
-    WHEN replace(replace(lo, translate(effect_allele, 'ACGT', 'TGCA'), ''), translate(other_allele, 'ACGT', 'TGCA'), '') = '' AND length(other_allele) = 1 THEN length(lo) - length(replace(lo, translate(effect_allele, 'ACGT', 'TGCA'), ''))
-    WHEN length(other_allele) > 1 AND replace(lo, effect_allele, '') = '' THEN 2 WHEN length(other_allele) > 1 AND replace(lo, translate(effect_allele, 'ACGT', 'TGCA'), '') = '' THEN 2 END AS n
-  FROM found f JOIN terms t USING (prs_row) WHERE other_allele IS NOT NULL)"""
+COUNTED = """counted AS (SELECT f.user_id, f.prs_row, t.beta, CASE WHEN canon IS NULL OR canon = '--' OR effect_allele = other_allele OR other_allele IS NULL THEN NULL
+    WHEN canon[1] IN (effect_allele, other_allele) AND canon[2] IN (effect_allele, other_allele) THEN (canon[1] = effect_allele)::INT + (canon[2] = effect_allele)::INT
+    WHEN canon[1] IN (e, o) AND canon[2] IN (e, o) THEN (canon[1] = e)::INT + (canon[2] = e)::INT END AS n
+  FROM found f JOIN (SELECT *, translate(effect_allele, 'ACGT', 'TGCA') AS e, CASE WHEN length(other_allele) = 1 THEN translate(other_allele, 'ACGT', 'TGCA') ELSE other_allele END AS o FROM prs) t ON f.prs_row = t.prs_row)"""
 
 
-@query("SELECT user_id, round(coalesce(sum(n * beta), 0), 6) AS score, CAST(count(n) AS BIGINT) AS n_used, CAST(count(*) - count(n) AS BIGINT) AS n_unresolved FROM counted GROUP BY user_id", UPLOAD, COUNTED)
+@query("SELECT u.user_id, round(coalesce(sum(n * beta), 0), 6) + 0.0 AS score, CAST(count(n) AS BIGINT) AS n_used, CAST((SELECT count(*) FROM prs) - count(n) AS BIGINT) AS n_unresolved FROM users u LEFT JOIN counted c ON c.user_id = u.user_id GROUP BY u.user_id", UPLOAD, EVERYONE, COUNTED)
 def upload_scores(t):
     return _rounded(score.upload_scores(t["user_calls"], t["prs"]), "score")
 
@@ -365,27 +376,115 @@ def mask_to_platform(t):
 
 
 @query("SELECT stratum, n, CAST(base + CASE WHEN rank <= 20 - (SELECT sum(base) FROM based) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM (SELECT *, row_number() OVER (ORDER BY exact - base DESC, stratum) AS rank FROM based)",
-    "strata AS (SELECT CASE WHEN chromosome = 'MT' THEN 'M' WHEN variant_idx % 7 = 0 THEN 'A' ELSE 'B' END AS stratum FROM panel_meta)",
+    "strata AS (SELECT CASE WHEN chromosome = '1' THEN 'M' WHEN variant_idx % 7 = 0 THEN 'A' ELSE 'B' END AS stratum FROM panel_meta)",
     "based AS (SELECT stratum, CAST(count(*) AS BIGINT) AS n, count(*) * 20 / (SELECT count(*) FROM strata) AS exact, floor(count(*) * 20 / (SELECT count(*) FROM strata)) AS base FROM strata GROUP BY stratum)")
 def stratified_sample_counts(t):
-    return metrics.stratified_quotas(t["panel_meta"].select(F.when(F.col("chromosome") == "MT", "M").when(F.col("variant_idx") % 7 == 0, "A").otherwise("B").alias("stratum")), 20)
+    return metrics.stratified_quotas(t["panel_meta"].select(F.when(F.col("chromosome") == "1", "M").when(F.col("variant_idx") % 7 == 0, "A").otherwise("B").alias("stratum")), 20)
 
 
 @query("SELECT target_idx, round(pow((target_idx * 37 % 41 - 20) / 100.0, 2) * 2 * mean / 2 * (1 - mean / 2) * (1 - r2), 9) AS contribution FROM single JOIN mean ON variant_idx = target_idx ORDER BY 2 DESC, 1 LIMIT 20", ENET)
 def top_variance_contributors(t):
-    q = stats.allele_frequency(t["dosages"]).select(F.col("variant_idx").alias("target_idx"), "allele_frequency")
-    c = F.expr("(target_idx * 37 % 41 - 20) / 100.0D") ** 2 * X.residual_variance(F.col("allele_frequency"), F.col("r2"))
+    q = stats.frequencies(t["panel"]).select(F.col("variant_idx").alias("target_idx"), "allele_frequency")
+    c = F.expr(BETA) ** 2 * X.residual_variance(F.col("allele_frequency"), F.col("r2"))
     return _single(t).join(q, "target_idx").select("target_idx", F.round(c, 9).alias("contribution")).orderBy(F.desc("contribution"), "target_idx").limit(20)
 
 
 @query()
 def truncated_variance(t):
-    """Mean and variance of each target's prediction at its allele frequency, truncated to possible dosages."""
+    """Mean and variance of each variant's dosage at its allele frequency, truncated to possible dosages."""
 
     @F.pandas_udf("mean double, variance double")
     def trunc(mu: pd.Series, var: pd.Series) -> pd.DataFrame:
         m, v = truncated_normal(mu, var.clip(lower=0) ** 0.5)
         return pd.DataFrame({"mean": m, "variance": v})
 
-    a = stats.allele_frequency(t["dosages"])
+    a = stats.frequencies(t["panel"])
     return a.select("variant_idx", trunc(F.col("mean"), F.col("hwe_variance")).alias("t")).select("variant_idx", "t.mean", "t.variance")
+
+
+EDGES = ["AG", " ag ", "A/G", "A|G", "GA", "A", "AAT", "A/AT", "AT|A", "G/GTT", "--", "", "NA", "N/A", "NULL", "..", "NN", "00", "II", "DI", "A/", "A/G/T", "AN", "A-", "I/D", "AA", "TT", "TC"]
+CALLS = "edge AS (SELECT g, upper(trim(g)) AS c, replace(replace(upper(trim(g)), '/', ''), '|', '') AS bare FROM (VALUES " + ", ".join(f"('{g}')" for g in EDGES) + ", (NULL)) v(g))"
+TWO = """two AS (SELECT g, CASE WHEN bare IN ('', '--', 'NA', 'NULL', '..', 'NN', '00') THEN NULL WHEN regexp_full_match(c, '[ACGT]{2}') THEN [c[1], c[2]]
+  WHEN regexp_full_match(c, '[ACGT]+[/|][ACGT]+') THEN string_split(replace(c, '|', '/'), '/') END AS a,
+  CASE WHEN c IS NULL OR length(c) <> 2 OR c IN ('--', 'NA', '..', 'NN', '00') OR regexp_matches(c, '[-N0ID]') THEN NULL WHEN c[1] = c[2] THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS zygosity FROM edge)"""
+
+
+def _edges(t) -> DataFrame:
+    return t["panel_meta"].sparkSession.createDataFrame([(g,) for g in [*EDGES, None]], "g string")
+
+
+@query("SELECT g, array_to_string(a, ',') AS alleles, zygosity FROM two", CALLS, TWO)
+def parse_genotypes(t):
+    g = F.col("g")
+    return _edges(t).select("g", F.array_join(X.parse_genotype(g), ",").alias("alleles"), X.zygosity_dosage(g).alias("zygosity"))
+
+
+ALLELES = [("A", "G"), ("G", "A"), ("T", "C"), ("A", "T"), ("AT", "A"), ("GTT", "G"), ("A", "A"), ("a", "G"), ("N", "G"), ("C", "T")]
+
+
+@query("""SELECT g, k, o, CAST(CASE WHEN a IS NULL OR NOT regexp_full_match(k, '[ACGT]+') OR NOT regexp_full_match(o, '[ACGT]+') OR k = o THEN NULL
+    WHEN a[1] IN (k, o) AND a[2] IN (k, o) THEN (a[1] = k)::INT + (a[2] = k)::INT WHEN a[1] IN (ck, co) AND a[2] IN (ck, co) THEN (a[1] = ck)::INT + (a[2] = ck)::INT END AS INT) AS n
+  FROM two CROSS JOIN pair""", CALLS, TWO, "pair AS (SELECT k, o, CASE WHEN length(k) = 1 THEN translate(k, 'ACGT', 'TGCA') ELSE k END AS ck, CASE WHEN length(o) = 1 THEN translate(o, 'ACGT', 'TGCA') ELSE o END AS co FROM (SELECT upper(k) AS k, upper(o) AS o FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ALLELES) + ") v(k, o)))")
+def count_alleles(t):
+    pairs = t["panel_meta"].sparkSession.createDataFrame([(a.upper(), b.upper()) for a, b in ALLELES], "k string, o string")
+    return _edges(t).crossJoin(pairs).select("g", "k", "o", X.count_allele(F.col("g"), F.col("k"), F.col("o")).cast("int").alias("n"))
+
+
+@query("""SELECT p.prs_row, r.variant_idx, CASE WHEN e = alt THEN 0 WHEN e = ref THEN 1 WHEN ce = alt THEN 0 WHEN ce = ref THEN 1 WHEN o = alt THEN 1 WHEN o = ref THEN 0 END = 1 AS flip, coalesce(least(ref, alt) || greatest(ref, alt) IN ('AT', 'CG'), false) AS ambiguous
+  FROM (SELECT prs_row, variant_id, effect_allele e, other_allele o, translate(effect_allele, 'ACGT', 'TGCA') AS ce FROM prs) p JOIN (SELECT variant_idx, variant_id, ref_allele ref, alt_allele alt FROM panel_meta) r ON r.variant_id = p.variant_id""")
+def align_effect_legacy(t):
+    return harmonize.align_by_id(t["prs"], t["panel_meta"]).select("prs_row", "variant_idx", "flip", "ambiguous")
+
+
+@query("SELECT target_idx, round(2 * q * (1 - q), 9) AS hwe, round(2 * q * (1 - q) * (1 - least(1.0, greatest(0.0, r2))), 9) AS residual FROM (SELECT target_idx, r2, mean / 2 AS q FROM single JOIN mean ON variant_idx = target_idx)", ENET)
+def hwe_residual_variance(t):
+    d = _single(t).join(stats.frequencies(t["panel"]).select(F.col("variant_idx").alias("target_idx"), "allele_frequency"), "target_idx")
+    q = F.col("allele_frequency")
+    return d.select("target_idx", F.round(X.hardy_weinberg_variance(q), 9).alias("hwe"), F.round(X.residual_variance(q, F.col("r2")), 9).alias("residual"))
+
+
+@query("""SELECT r.chromosome, r.region, f.sample_idx, round(sum((variant_idx * 37 % 41 - 20) / 100.0 * CASE WHEN variant_idx % 2 = 0 THEN 2 - dosage ELSE dosage END), 6) + 0.0 AS contribution
+  FROM regions r JOIN m v ON v.chromosome = r.chromosome AND v.position BETWEEN r."start" AND r."end" AND v.variant_idx % 3 = 2 JOIN filled f USING (variant_idx) GROUP BY ALL""", REGIONS.format(META=META, W=WINDOW), FULL)
+def region_target_contribution(t):
+    regions = ranges.merge_windows(_panel(t).filter("variant_idx % 3 = 2"), WINDOW).select("chromosome", "region", (F.col("region") + X.chromosome_order(F.col("chromosome")) * 1_000_000).cast("long").alias("unit_id"))
+    y = _regions(t)[2].select("unit_id", F.posexplode("y").alias("at", "y")).join(t["samples"], "at")
+    return y.join(regions, "unit_id").select("chromosome", "region", "sample_idx", (F.round("y", 6) + 0.0).alias("contribution"))
+
+
+@query("SELECT a.target_idx, a.predictor_idx AS i, b.predictor_idx AS j, round(sum(x.dosage * y.dosage), 6) AS product FROM ranked a JOIN ranked b ON a.target_idx = b.target_idx AND a.predictor_idx <= b.predictor_idx JOIN filled x ON x.variant_idx = a.predictor_idx JOIN filled y ON y.variant_idx = b.predictor_idx AND y.sample_idx = x.sample_idx WHERE a.rank <= 4 AND b.rank <= 4 GROUP BY ALL", PAIRS, FULL)
+def gram_pairs(t):
+    """The Gram matrices of the units, from the moments of the tiles."""
+    m = tiles.collect_tiles(*_targets(t), WINDOW, 4).filter("size(predictor_idx) > 0")
+    whole = F.aggregate("gram", F.transform(F.get("gram", F.lit(0)), lambda x: F.lit(0.0)), lambda a, g: F.zip_with(a, g, lambda x, y: x + y))
+    d = m.select("unit_id", "predictor_idx", F.posexplode(whole).alias("at", "product"))
+    p = F.size("predictor_idx")
+    d = d.select(F.col("unit_id").alias("target_idx"), F.get("predictor_idx", F.floor(F.col("at") / p).cast("int")).alias("i"), F.get("predictor_idx", F.pmod("at", p)).alias("j"), F.round("product", 6).alias("product"))
+    return d.filter("i <= j")
+
+
+@query("SELECT d.sample_idx, round(sum(dosage * coefficient) + (SELECT sum(intercept) FROM single), 6) + 0.0 AS score FROM filled d JOIN single s ON d.variant_idx = s.predictor_idx GROUP BY d.sample_idx", ENET)
+def panel_projected_score(t):
+    """All models as regions: coefficients of a predictor add up before they meet the samples."""
+    s = _single(t)
+    w = s.groupBy(F.col("predictor_idx").alias("variant_idx")).agg(F.sum("coefficient").alias("weight")).withColumn("flip", F.lit(False))
+    d = tiles.weighted_sum(stats.filled(t["panel"]), w).join(F.broadcast(s.agg(F.sum("intercept").alias("c"))))
+    return d.join(t["samples"], "at").select("sample_idx", (F.round(F.col("value") + F.col("c"), 6) + 0.0).alias("score"))
+
+
+@query("""SELECT t.variant_id AS target_variant_id, p.variant_id AS predictor_variant_id, p.chromosome AS predictor_chromosome, p.position AS predictor_position, p.alt_allele AS predictor_counted_allele, p.ref_allele AS predictor_other_allele,
+  round(mean.mean / 2, 9) AS predictor_allele_frequency, round(coefficient, 6) AS coefficient FROM single JOIN m t ON t.variant_idx = target_idx JOIN m p ON p.variant_idx = predictor_idx JOIN mean ON mean.variant_idx = predictor_idx WHERE coefficient <> 0""", ENET)
+def coefficients_long(t):
+    v = _panel(t).join(stats.frequencies(t["panel"]).select("variant_idx", "allele_frequency"), "variant_idx")
+    d = _single(t).filter("coefficient <> 0").select(F.col("target_idx").alias("unit_id"), "predictor_idx", "coefficient")
+    return _rounded(exports.coefficient_table(d, v, v.select(F.col("variant_idx").alias("unit_id"), "variant_id")), "coefficient").withColumn("predictor_allele_frequency", F.round("predictor_allele_frequency", 9))
+
+
+@query("""SELECT variant_id, position, effect_allele, other_allele, beta, 'observed' AS status, NULL AS imputation_r2, 0 AS n_predictors FROM matched WHERE matched_by IS NOT NULL
+  UNION ALL SELECT p.variant_id, p.position, effect_allele, other_allele, p.beta, 'imputed', round(r2, 6), 1 FROM matched p JOIN oriented o USING (prs_row) JOIN single s ON s.target_idx = o.variant_idx WHERE matched_by IS NULL""", KEYS, RESOLVED, ENET)
+def variant_table_union(t):
+    p = harmonize.partition_by_platform(t["prs"], t["platform"])
+    terms = ["prs_row", "variant_id", "position", "effect_allele", "other_allele", "beta"]
+    m = harmonize.resolve_alleles(p.filter("matched_by is null"), t["panel_meta"]).select("prs_row", F.col("variant_idx").alias("target_idx")).join(_single(t), "target_idx")
+    models = m.select("prs_row", F.lit("imputed").alias("status"), F.round("r2", 6).alias("imputation_r2"), F.lit(1).alias("n_predictors")).join(p.select(*terms), "prs_row")
+    seen = p.filter("matched_by is not null").select(*terms, F.lit("observed").alias("status"), F.lit(0).alias("n_predictors"))
+    return seen.unionByName(models, allowMissingColumns=True).drop("prs_row")

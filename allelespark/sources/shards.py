@@ -45,6 +45,16 @@ def resume(spark: SparkSession, root: str, key: str, shards: Iterable[str], buil
     return spark.read.option("basePath", f"{root}/{key}").parquet(*(f"{root}/{key}/shard={s}" for s in all_shards)).withColumn("shard", F.col("shard").cast("string"))
 
 
+def partitioned(spark: SparkSession, root: str, key: str, column: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """build() written once under root/key, a folder for each value of column, and read back."""
+    at = f"{root}/{key}"
+    done, fs = _path(spark, f"{at}/_SUCCESS")
+    if not fs.exists(done):
+        build().repartition(column, F.pmod(F.xxhash64("variant_idx"), F.lit(8))).write.mode("overwrite").partitionBy(column).parquet(at)
+    d = spark.read.parquet(at)
+    return d.withColumn(column, F.col(column).cast("string"))
+
+
 def listing(spark: SparkSession, root: str) -> dict[str, set[str]]:
     """The keys under root and their committed shards."""
     at, fs = _path(spark, root)
