@@ -141,6 +141,7 @@ def fit_model(
     given), so a lost job goes on at the next chromosome and other penalties are solved without the panel. The panel is
     packed once, by chromosome, and kept there too. No table of samples or variants comes to the driver.
     """
+    harmonize.check_fit_inputs(panel, dosages, prs)
     spark = panel.sparkSession
     root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:

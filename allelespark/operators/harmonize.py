@@ -94,3 +94,24 @@ def drop_examples(cleaned: DataFrame, most: int = 5) -> DataFrame:
     n = bad.groupBy("reason").agg(F.count("*").cast("long").alias("n"))
     first = bad.withColumn("_k", F.row_number().over(Window.partitionBy("reason").orderBy("prs_row"))).filter(F.col("_k") <= most).groupBy("reason").agg(ids.alias("examples"))
     return n.join(first, "reason")
+
+
+def reference_variants(panel: DataFrame, chromosomes: list[str]) -> DataFrame:
+    """Only the metadata of a panel's variants on some chromosomes, however these are spelt; no dosage is read."""
+    want = [c.upper().removeprefix("CHR").replace("MT", "M") for c in chromosomes]
+    meta = panel.select("variant_idx", "variant_id", "chromosome", "position", "ref_allele", "alt_allele")
+    return meta.filter(normalize_chromosome(F.col("chromosome")).isin(*want))
+
+
+def contig_spelling(panel: DataFrame) -> DataFrame:
+    """(chromosome, spelling) of each normalised chromosome in a panel."""
+    return panel.select(normalize_chromosome(F.col("chromosome")).alias("chromosome"), F.col("chromosome").alias("spelling")).distinct()
+
+
+def check_fit_inputs(panel: DataFrame, dosages: DataFrame, prs: DataFrame) -> None:
+    """ValueError if a table of fit_model() lacks a column, or a dosage is of a variant the panel doesn't have."""
+    for what, d, names in (("panel", panel, ("variant_idx", "variant_id", "chromosome", "position", "ref_allele", "alt_allele")), ("dosages", dosages, ("sample_idx", "variant_idx", "dosage")), ("score", prs, ("prs_row", "variant_id", "chromosome", "position", "effect_allele", "other_allele", "beta"))):
+        if missing := [n for n in names if n not in d.columns]:
+            raise ValueError(f"the {what} lacks {', '.join(missing)}")
+    if not dosages.select("variant_idx").distinct().join(panel.select("variant_idx"), "variant_idx", "left_anti").isEmpty():
+        raise ValueError("dosages hold variants that the panel doesn't")

@@ -144,3 +144,36 @@ def check_compatibility(model_build: str | None, model_platform: str | None, bui
     if out and strict:
         raise ValueError("; ".join(out))
     return out
+
+
+def validate_build(score_build: str | None, genotype_build: str | None, strict: bool = True) -> bool:
+    """Whether two builds are one, unknown on either side counting as such; raises if strict and they aren't."""
+    return not check_compatibility(score_build, None, genotype_build, None, strict)
+
+
+def chip_axis(predictors: DataFrame) -> DataFrame:
+    """The distinct predictors(variant_id, chromosome, position, counted_allele, other_allele, allele_frequency) of several
+    models; ValueError if one id comes with different metadata."""
+    columns = ["chromosome", "position", "counted_allele", "other_allele", "allele_frequency"]
+    d = predictors.groupBy("variant_id").agg(F.min(F.struct(*columns)).alias("low"), F.max(F.struct(*columns)).alias("high"))
+    if bad := [r[0] for r in d.filter("low <> high").select("variant_id").limit(5).collect()]:
+        raise ValueError(f"{', '.join(sorted(bad))} differ between models")
+    return d.select("variant_id", "low.*")
+
+
+def oriented_matrix(panel: DataFrame, predictors: DataFrame) -> DataFrame:
+    """(prs_row, d) for predictors(prs_row, chromosome, position, effect_allele, other_allele, allele_frequency): the panel's
+    arrays counting the effect allele, cells that are missing or not placed at twice the frequency; one pass, no long form."""
+    from .harmonize import resolve_alleles
+
+    r = resolve_alleles(predictors.withColumn("beta", F.lit(0.0)), panel.drop("d")).join(panel.select("variant_idx", "d"), "variant_idx", "left")
+    n = (panel.select(F.size("d")).first() or [0])[0]
+    fill = 2 * F.col("allele_frequency")
+    full = F.transform("d", lambda x: F.coalesce(F.when(F.col("flip"), 2 - x).otherwise(x).cast("double"), fill))
+    return r.select("prs_row", F.coalesce(full, F.array_repeat(fill, n)).alias("d"))
+
+
+def needed_ids(model, observed_only: bool = False) -> DataFrame:
+    """(variant_id) that an upload should hold for a model: its observed terms and, unless observed_only, all predictors."""
+    seen = model.tables["observed"].select("variant_id")
+    return (seen if observed_only else seen.union(model.tables["variants"].select("variant_id"))).distinct()

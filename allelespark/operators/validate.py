@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import render_genotype
+from ..functions.exprs import is_hard_call, render_genotype
 from . import harmonize, metrics
 
 
@@ -43,3 +43,37 @@ def masking(model, panel: DataFrame, dosages: DataFrame, platform: DataFrame) ->
     p = p.select(F.col("user_id").alias("sample_idx"), F.col(f"ci_lower{end}").alias("low"), F.col(f"ci_upper{end}").alias("high"), F.col(f"se{end}").alias("se"))
     inside = scores.join(p, "sample_idx").agg(F.avg(F.col("truth").between(F.col("low"), F.col("high")).cast("double")).alias("coverage"), F.avg("se").alias("mean_se"), F.count("*").cast("long").alias("n"))
     return metrics.agreement(scores).join(F.broadcast(inside))
+
+
+def subsample(dosages: DataFrame, most: int | None, seed: int = 42) -> DataFrame:
+    """The dosages of most samples at most, those whose seeded hash comes first."""
+    if most is None:
+        return dosages
+    keep = dosages.select("sample_idx").distinct().orderBy(F.xxhash64(F.lit(seed), "sample_idx"), "sample_idx").limit(most)
+    return dosages.join(keep, "sample_idx", "left_semi")
+
+
+def report(model, panel: DataFrame, dosages: DataFrame, platform: DataFrame, path: str | None = None, max_samples: int | None = None, round_trip_samples: int = 50, ancestry: str | None = None, seed: int = 42) -> dict:
+    """masking() as a dict, with the greatest difference of a text round trip where path is given and dosages are hard calls,
+    and caveats: a panel without hard calls, an ancestry that is not the model's, a round trip beyond 1e-6."""
+    dosages = subsample(dosages, max_samples, seed)
+    hard = dosages.agg(F.bool_and(is_hard_call(F.col("dosage")))).first()[0]
+    out, caveats = masking(model, panel, dosages, platform).first().asDict(), []
+    if not hard:
+        caveats.append("dosages are not hard calls, so uploads hold only those that are")
+    elif path is not None:
+        masked = mask(panel, subsample(dosages, round_trip_samples, seed), platform)
+        out["round_trip"] = round_trip(model, panel, masked, path, model.info.get("build")).first().max_difference
+        if (out["round_trip"] or 0) > 1e-6:
+            caveats.append("uploads read back from text score otherwise")
+    trained = model.info.get("ancestry")
+    if ancestry and trained and ancestry != trained:
+        caveats.append(f"the model was trained on {trained}, not {ancestry}")
+    return out | {"caveats": caveats}
+
+
+def write_upload(calls: DataFrame, path: str) -> None:
+    """Calls as tab-delimited text with a comment and a header, a folder a user, as consumer genotype files have them."""
+    head = calls.select("user_id").distinct().select("user_id", F.lit(0).alias("k"), F.explode(F.array(F.lit("# rsid, chromosome, position and genotype, by tabs"), F.lit("rsid\tchromosome\tposition\tgenotype"))).alias("value"))
+    body = calls.select("user_id", F.lit(1).alias("k"), F.concat_ws("\t", "raw_id", F.coalesce("chromosome", F.lit("")), F.coalesce(F.col("position").cast("string"), F.lit("")), "genotype").alias("value"))
+    head.union(body).repartition("user_id").sortWithinPartitions("user_id", "k").select(F.col("user_id").alias("user"), "value").write.mode("overwrite").partitionBy("user").text(path)

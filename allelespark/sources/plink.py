@@ -47,7 +47,7 @@ def _dosages(bed: str, samples: int, keep: list[int] | None):
                         if len(block) != len(part) * width:
                             raise ValueError(f"{bed} ends before variant {at[part[-1]]} of its .bim")
                         d = decode(block, samples) if keep is None else decode(block, samples)[:, keep]
-                        yield pdf.iloc[part].assign(dosage=[[None if np.isnan(v) else float(v) for v in r] for r in d])
+                        yield pdf.iloc[part].assign(dosage=[np.where(np.isnan(r), None, r).tolist() for r in d])
 
     return run
 
@@ -64,7 +64,7 @@ def _numbered(d: DataFrame) -> DataFrame:
     return d.withColumn("variant_idx", (start + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("row")
 
 
-def read_plink(spark: SparkSession, prefix: str, region: tuple[str, int, int] | None = None, samples: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+def read_plink(spark: SparkSession, prefix: str, region: tuple[str, int, int] | None = None, samples: list[str] | None = None, variant_ids: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """A panel like read_vcf's from prefix.bed, .bim and .fam, and its sample ids in file order.
 
     The fifth column of .bim is ref_allele, the sixth alt_allele; dosages count alt_allele and are null where not called.
@@ -85,4 +85,8 @@ def read_plink(spark: SparkSession, prefix: str, region: tuple[str, int, int] |
     bim = lines.select("variant_idx", F.get(c, 1).alias("variant_id"), F.get(c, 0).alias("chromosome"), F.get(c, 3).cast("long").alias("position"), F.get(c, 4).alias("ref_allele"), F.get(c, 5).alias("alt_allele"))
     if region:
         bim = bim.filter((F.col("chromosome") == region[0]) & F.col("position").between(region[1], region[2]))
+    if variant_ids is not None:
+        from .readers import matches_ids
+
+        bim = bim.filter(matches_ids(variant_ids, F.col("variant_id"), F.col("chromosome"), F.col("position")))
     return bim.mapInPandas(_dosages(f"{prefix}.bed", len(fam), keep), PANEL), fam if keep is None else [fam[i] for i in keep]

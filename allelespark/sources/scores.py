@@ -12,7 +12,14 @@ import urllib.request
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-METADATA = "id string, name string, trait_reported string, variants_number long, variants_genomebuild string"
+METADATA = (
+    "id string, name string, trait_reported string, trait_efo array<struct<id: string, label: string>>, variants_number long, variants_genomebuild string, original_genome_build string, "
+    "ftp_scoring_file string, ftp_harmonized_scoring_files map<string, struct<positions: string>>, publication struct<doi: string, PMID: string>, date_release string"
+)
+# Where public scoring files stand, the builds they are harmonised to and other names of these.
+FILES = "https://ftp.ebi.ac.uk/pub/databases/spot/pgs/scores"
+API = "https://www.pgscatalog.org/rest"
+BUILDS = {"grch37": "GRCh37", "hg19": "GRCh37", "grch38": "GRCh38", "hg38": "GRCh38"}
 
 
 def check_score_id(score_id: str) -> str:
@@ -61,8 +68,54 @@ def read_scoring_file(spark: SparkSession, path: str, filter_failed: bool = True
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each cached metadata document (one JSON object a file)."""
-    return spark.read.schema(METADATA).option("multiLine", True).json(path)
+    """A row for each cached metadata document (one JSON object a file): id, names, traits, builds, files and publication."""
+    d = spark.read.schema(METADATA).option("multiLine", True).json(path)
+    d = d.withColumns({"trait_efo": F.transform("trait_efo", lambda x: x["id"]), "harmonized_files": F.transform_values("ftp_harmonized_scoring_files", lambda k, v: v["positions"]), "publication_doi": F.col("publication.doi"), "publication_pmid": F.col("publication.PMID"), "genome_build": F.coalesce("original_genome_build", "variants_genomebuild")})
+    return d.drop("ftp_harmonized_scoring_files", "publication", "original_genome_build")
+
+
+def check_build(build: str) -> str:
+    if build.strip().lower() not in BUILDS:
+        raise ValueError(f"{build} is none of {', '.join(sorted(set(BUILDS.values())))}")
+    return BUILDS[build.strip().lower()]
+
+
+def scoring_file_path(score_id: str, build: str, cache: str) -> str:
+    return os.path.join(cache, f"{check_score_id(score_id)}_{check_build(build)}.txt.gz")
+
+
+def fetch_metadata(spark: SparkSession, score_id: str, cache: str) -> DataFrame:
+    """The metadata row of a score, from cache or from the public service, whose answer is kept in cache."""
+    i = check_score_id(score_id)
+    os.makedirs(cache, exist_ok=True)
+    return read_metadata(spark, fetch(f"{API}/score/{i}", os.path.join(cache, f"{i}_metadata.json")))
+
+
+def download_score(spark: SparkSession, score_id: str, build: str = "GRCh37", cache: str = "scores", filter_failed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The usable terms of a public score and (reason, n, examples) of the rest; the file is fetched unless cache has it."""
+    from .readers import load_score
+
+    i, b = check_score_id(score_id), check_build(build)
+    os.makedirs(cache, exist_ok=True)
+    path = fetch(f"{FILES}/{i}/ScoringFiles/Harmonized/{i}_hmPOS_{b}.txt.gz", scoring_file_path(i, b, cache))
+    return load_score(read_scoring_file(spark, path, filter_failed))
+
+
+def cache_info(cache: str) -> dict:
+    """Where the cache is, how many files and bytes it holds and the scores they are of."""
+    files = [f for f in os.scandir(cache) if f.is_file()] if os.path.isdir(cache) else []
+    size = sum(f.stat().st_size for f in files)
+    return {"path": cache, "n_files": len(files), "size_bytes": size, "size_mb": round(size / 2**20, 2), "scores": sorted({m[0] for f in files if (m := re.match(r"PGS\d{6}", f.name))})}
+
+
+def clear_cache(cache: str, score_id: str | None = None) -> int:
+    """Removes the cached files of one score or of all; how many went."""
+    gone = 0
+    for f in list(os.scandir(cache)) if os.path.isdir(cache) else []:
+        if f.is_file() and re.match(r"PGS\d{6}", f.name) and (score_id is None or f.name.startswith(check_score_id(score_id))):
+            os.remove(f.path)
+            gone += 1
+    return gone
 
 
 def search(metadata: DataFrame, text: str, limit: int = 10) -> DataFrame:
