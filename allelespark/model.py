@@ -220,12 +220,12 @@ def fit_model(
     w = left.select("fold", "beta", F.explode(F.arrays_zip("predictor_idx", "coefficients")).alias("x")).groupBy("fold", F.col("x.predictor_idx").alias("variant_idx")).agg(F.sum(F.col("beta") * F.col("x.coefficients")).alias("w"))
     const = left.groupBy("fold").agg(F.sum(F.col("beta") * F.col("intercept")).alias("const"))
     flat = F.lit(False).alias("flip")
-    sums = [tiles.weighted_sum(stats.filled(packed), w.filter(F.col("fold") == k).select("variant_idx", F.col("w").alias("weight"), flat)).withColumn("fold", F.lit(k)) for k in range(folds)]
+    sums = [tiles.weighted_sum(packed, w.filter(F.col("fold") == k).select("variant_idx", F.col("w").alias("weight"), flat), fill=True).drop("n").withColumn("fold", F.lit(k)) for k in range(folds)]
     moved = functools.reduce(DataFrame.unionByName, sums)
     weights = placed.select("variant_idx", F.col("beta").alias("weight"), "flip", "on_chip")
     seen = tiles.weighted_sum(packed, weights.filter("on_chip"))
-    held = fold.join(F.broadcast(const), "fold", "left").join(moved.withColumnRenamed("value", "x"), ["at", "fold"], "left").join(seen.withColumnRenamed("value", "seen"), "at", "left").na.fill(0.0)
-    truth = tiles.weighted_sum(stats.filled(packed), weights).withColumnRenamed("value", "truth")
+    held = fold.join(F.broadcast(const), "fold", "left").join(moved.withColumnRenamed("value", "x"), ["at", "fold"], "left").join(seen.select("at", F.col("value").alias("seen")), "at", "left").na.fill(0.0)
+    truth = tiles.weighted_sum(packed, weights, fill=True).withColumnRenamed("value", "truth")
     c = metrics.calibration(held.select("at", (F.col("const") + F.col("x") + F.col("seen")).alias("estimate")).join(truth, "at")).first().asDict()
     c = metrics.with_theory({k: v for k, v in c.items() if v is not None}, models)
     tables = {"observed": observed, "models": models, "coefficients": coefficients, "variants": variants, "dispositions": dispositions}

@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import clip_dosage, count_allele, hardy_weinberg_variance
+from ..functions.exprs import clip_dosage, hardy_weinberg_variance
+from ..functions.sizes import small
 from ..functions.solver import truncated_normal
-from .score import resolve_uploads
+from .score import counted_effects
 
 
 @F.pandas_udf(T.DoubleType())
@@ -22,10 +23,8 @@ def truncated_variance(mu: pd.Series, variance: pd.Series) -> pd.Series:
 def called_dosages(calls: DataFrame, variants: DataFrame) -> DataFrame:
     """(user_id, variant_idx, dosage): alternate alleles called at variants(variant_idx, variant_id, chromosome, position,
     ref_allele, alt_allele). What isn't called, conflicts or doesn't fit has no row."""
-    terms = variants.withColumn("prs_row", F.col("variant_idx"))
-    r = resolve_uploads(calls, terms).join(terms.select("prs_row", "variant_idx", "ref_allele", "alt_allele"), "prs_row")
-    n = count_allele(F.col("genotype"), F.col("alt_allele"), F.col("ref_allele"))
-    return r.select("user_id", "variant_idx", n.cast("double").alias("dosage")).filter("dosage is not null")
+    terms = variants.select(F.col("variant_idx").alias("prs_row"), "variant_id", "chromosome", "position", F.col("alt_allele").alias("effect_allele"), F.col("ref_allele").alias("other_allele"))
+    return counted_effects(calls, terms).select("user_id", F.col("prs_row").alias("variant_idx"), F.col("n").cast("double").alias("dosage"))
 
 
 def baselines(models: DataFrame, coefficients: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def touched(called: DataFrame, based: DataFrame, coefficients: DataFrame, freque
     """(user_id, unit_id, raw, missing): predictions of the models that a user's calls reach, and the share of substituted
     predictors. Only called cells are joined: the base already holds what the substituted ones add."""
     c = coefficients.join(frequencies.select(F.col("variant_idx").alias("predictor_idx"), "allele_frequency"), "predictor_idx")
-    d = called.join(c, F.col("variant_idx") == F.col("predictor_idx"))
+    d = called.join(small(c), F.col("variant_idx") == F.col("predictor_idx"))
     d = d.groupBy("user_id", "unit_id").agg(F.sum((F.col("dosage") - 2 * F.col("allele_frequency")) * F.col("coefficient")).alias("moved"), F.count("*").alias("seen"))
     d = d.join(based.select("unit_id", "base", "n_predictors"), "unit_id")
     return d.select("user_id", "unit_id", (F.col("base") + F.col("moved")).alias("raw"), (1 - F.col("seen") / F.col("n_predictors")).alias("missing"))
@@ -84,9 +83,8 @@ def observed_component(users: DataFrame, calls: DataFrame, called: DataFrame, ob
     unresolved. fallbacks have the columns of models.
     """
     t = observed.filter("other_allele is not null").withColumn("prs_row", F.col("unit_id"))
-    r = resolve_uploads(calls, t).join(t.select("prs_row", "effect_allele", "other_allele", "beta"), "prs_row")
-    n = count_allele(F.col("genotype"), F.col("effect_allele"), F.col("other_allele"))
-    direct = r.select("user_id", F.col("prs_row").alias("unit_id"), (n * F.col("beta")).alias("term")).filter("term is not null")
+    r = counted_effects(calls, t).join(small(t.select("prs_row", "beta")), "prs_row")
+    direct = r.select("user_id", F.col("prs_row").alias("unit_id"), (F.col("n") * F.col("beta")).alias("term"))
     based = baselines(fallbacks.join(observed.select("unit_id"), "unit_id", "left_semi"), coefficients, frequencies)
     base = _terms(based, F.col("base"), F.when(F.col("n_predictors") > 0, 1.0).otherwise(0.0)).withColumn("weight", F.abs("beta"))
     sums = (*SUMS, "weight")

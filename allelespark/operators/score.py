@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip_dosage, count_allele, genotype_group, hardy_weinberg_variance, id_key, locus_key, zygosity_dosage
+from ..functions.sizes import small
 
 
 def panel_score(dosages: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -14,14 +15,7 @@ def panel_score(dosages: DataFrame, resolved: DataFrame) -> DataFrame:
     resolved has a row a score term and joins before one aggregation with map-side sums."""
     r = resolved.filter("variant_idx is not null").select("variant_idx", "flip", "beta")
     oriented = F.when(F.col("flip"), 2 - F.col("dosage")).otherwise(F.col("dosage"))
-    return dosages.join(r, "variant_idx").groupBy("sample_idx").agg(F.sum(F.coalesce(oriented * F.col("beta"), F.lit(0.0))).alias("score"), F.count(oriented).cast("long").alias("n_used"))
-
-
-def panel_imputed_score(dosages: DataFrame, models: DataFrame) -> DataFrame:
-    """(sample_idx, score): clipped predictions times beta over models(target_idx, predictor_idx, coefficient, intercept, beta)."""
-    d = dosages.join(models, F.col("variant_idx") == F.col("predictor_idx"))
-    target = d.groupBy("sample_idx", "target_idx").agg(F.sum(F.col("dosage") * F.col("coefficient")).alias("x"), F.first("intercept").alias("intercept"), F.first("beta").alias("beta"))
-    return target.groupBy("sample_idx").agg(F.sum(clip_dosage(F.col("x") + F.col("intercept")) * F.col("beta")).alias("score"))
+    return dosages.join(small(r), "variant_idx").groupBy("sample_idx").agg(F.sum(F.coalesce(oriented * F.col("beta"), F.lit(0.0))).alias("score"), F.count(oriented).cast("long").alias("n_used"))
 
 
 def _keys(*keys: tuple[int, Column]) -> Column:
@@ -29,6 +23,33 @@ def _keys(*keys: tuple[int, Column]) -> Column:
     return F.explode(F.filter(F.array(*(F.struct(F.lit(w).alias("way"), k.alias("key")) for w, k in keys)), lambda x: x["key"].isNotNull()))
 
 
+def _matched(calls: DataFrame, terms: DataFrame) -> DataFrame:
+    """A row for each call and term it could be of: the user, the term's columns, genotype, locus and the way, 0 by id and 1 by
+    locus. The keys of the terms are broadcast where they are few, so that calls stay where they are."""
+    locus = F.when(F.col("chromosome").isNotNull() & F.col("position").isNotNull(), locus_key(F.col("chromosome"), F.col("position")))
+    c = calls.select("user_id", "genotype", locus.alias("locus"), _keys((0, F.lower("raw_id")), (1, locus)).alias("k")).select("user_id", "genotype", "locus", "k.*")
+    by_id = F.when(F.contains("variant_id", F.lit(":")), id_key(F.col("variant_id")))
+    own = [x for x in ("effect_allele", "other_allele") if x in terms.columns]
+    full = F.lower(F.concat_ws(":", locus, "other_allele", "effect_allele")) if len(own) == 2 else F.lit(None).cast("string")
+    t = terms.select("prs_row", *own, _keys((0, F.lower("variant_id")), (0, full), (1, locus), (1, by_id)).alias("k")).select("prs_row", *own, "k.*").distinct()
+    return c.join(small(t), ["way", "key"])
+
+
+def _decided(matched: DataFrame, value: Column, name: str) -> DataFrame:
+    """(user_id, prs_row, same, name): of each user and term whether the calls of the way chosen agree in alleles and locus, and
+    if so the least value. Alleles and loci are compared by 64-bit hashes, so that the sums stay in fixed-width rows."""
+    d = matched.withColumns({"_g": F.xxhash64(genotype_group(F.col("genotype"))), "_l": F.when(F.col("locus").isNotNull(), F.xxhash64("locus")), "_v": value})
+    ways = []
+    for w in (0, 1):
+        here = F.col("way") == w
+        only = lambda f, c: f(F.when(here, F.col(c)))  # noqa: B023, E731
+        same = (only(F.min, "_g") == only(F.max, "_g")) & F.coalesce(only(F.min, "_l") == only(F.max, "_l"), F.lit(True))
+        ways.append((F.count(F.when(here, 1)) > 0, same, only(F.min, "_v")))
+    (first, s0, v0), (_, s1, v1) = ways
+    d = d.groupBy("user_id", "prs_row").agg(F.when(first, s0).otherwise(s1).alias("same"), F.when(first, v0).otherwise(v1).alias(name))
+    return d.withColumn(name, F.when(F.col("same"), F.col(name)))
+
+
 def resolve_uploads(calls: DataFrame, terms: DataFrame, every: bool = False) -> DataFrame:
     """(user_id, prs_row, status, genotype) of users and terms(prs_row, variant_id, chromosome, position and, if known,
     effect_allele and other_allele).
@@ -38,32 +59,25 @@ def resolve_uploads(calls: DataFrame, terms: DataFrame, every: bool = False) ->
     duplicate_conflict. Without every, pairs without a call are left out; with it they are not_found, a row for each user
     and term.
     """
-    locus = F.when(F.col("chromosome").isNotNull() & F.col("position").isNotNull(), locus_key(F.col("chromosome"), F.col("position")))
-    c = calls.select("user_id", "genotype", locus.alias("locus"), _keys((0, F.lower("raw_id")), (1, locus)).alias("k")).select("user_id", "genotype", "locus", "k.*")
-    by_id = F.when(F.contains("variant_id", F.lit(":")), id_key(F.col("variant_id")))
-    full = F.lower(F.concat_ws(":", locus, "other_allele", "effect_allele")) if {"effect_allele", "other_allele"} <= set(terms.columns) else F.lit(None).cast("string")
-    t = terms.select("prs_row", _keys((0, F.lower("variant_id")), (0, full), (1, locus), (1, by_id)).alias("k")).select("prs_row", "k.*").distinct()
-    d = c.join(t, ["way", "key"]).withColumn("group", genotype_group(F.col("genotype")))
-    ways = []
-    for w in (0, 1):
-        here = F.col("way") == w
-        low, high = (f(F.when(here, F.col("group"))) for f in (F.min, F.max))
-        at, to = (f(F.when(here, F.col("locus"))) for f in (F.min, F.max))
-        same = (low == high) & F.coalesce(at == to, F.lit(True))
-        ways.append(F.when(F.count(F.when(here, 1)) > 0, F.struct(F.when(same, "resolved").otherwise("duplicate_conflict").alias("status"), F.when(same, F.min(F.when(here, F.col("genotype")))).alias("genotype"))))
-    found = d.groupBy("user_id", "prs_row").agg(F.coalesce(*ways).alias("r")).select("user_id", "prs_row", "r.status", "r.genotype")
+    found = _decided(_matched(calls, terms), F.col("genotype"), "genotype").select("user_id", "prs_row", F.when(F.col("same"), "resolved").otherwise("duplicate_conflict").alias("status"), "genotype")
     if not every:
         return found
-    grid = calls.select("user_id").distinct().crossJoin(terms.select("prs_row").distinct())
+    grid = calls.select("user_id").distinct().crossJoin(small(terms.select("prs_row").distinct()))
     return grid.join(found, ["user_id", "prs_row"], "left").select("user_id", "prs_row", F.coalesce("status", F.lit("not_found")).alias("status"), "genotype")
 
 
+def counted_effects(calls: DataFrame, terms: DataFrame, allow_ambiguous: bool = True) -> DataFrame:
+    """(user_id, prs_row, n): how often each user has the effect allele of terms(prs_row, variant_id, chromosome, position,
+    effect_allele, other_allele); what isn't found, conflicts, isn't called or doesn't fit has no row."""
+    n = count_allele(F.col("genotype"), F.col("effect_allele"), F.col("other_allele"), allow_ambiguous=allow_ambiguous)
+    return _decided(_matched(calls, terms.filter("other_allele is not null")), n, "n").filter("n is not null").select("user_id", "prs_row", "n")
+
+
 def upload_scores(calls: DataFrame, terms: DataFrame, allow_ambiguous: bool = True) -> DataFrame:
     """(user_id, score, n_used, n_unresolved) of every user with a call; what isn't found, conflicts, isn't called, doesn't
     fit or has no other allele is unresolved, counted without a row for each user and term."""
-    r = resolve_uploads(calls, terms).join(terms.filter("other_allele is not null").select("prs_row", "effect_allele", "other_allele", "beta"), "prs_row")
-    n = count_allele(F.col("genotype"), F.col("effect_allele"), F.col("other_allele"), allow_ambiguous=allow_ambiguous)
-    own = r.withColumn("n", n).groupBy("user_id").agg(F.sum(F.col("n") * F.col("beta")).alias("score"), F.count("n").cast("long").alias("n_used"))
+    r = counted_effects(calls, terms, allow_ambiguous).join(small(terms.select("prs_row", "beta")), "prs_row")
+    own = r.groupBy("user_id").agg(F.sum(F.col("n") * F.col("beta")).alias("score"), F.count("n").cast("long").alias("n_used"))
     d = calls.select("user_id").distinct().join(own, "user_id", "left").join(F.broadcast(terms.agg(F.count("*").cast("long").alias("n_terms"))))
     used = F.coalesce("n_used", F.lit(0).cast("long"))
     return d.select("user_id", F.coalesce("score", F.lit(0.0)).alias("score"), used.alias("n_used"), (F.col("n_terms") - used).alias("n_unresolved"))

@@ -85,19 +85,25 @@ def _pairs(t) -> DataFrame:
 
 
 def _single(t) -> DataFrame:
-    return stats.single_predictor_fits(stats.filled(t["panel"]), ranges.nearest(_pairs(t), 1), ALPHA, L1)
+    return stats.single_predictor_fits(stats.filled(t["panel"]), ranges.nearest(_pairs(t), 1), ALPHA, L1).persist()  # a row a target, read by several plans
 
 
 def _scores(t) -> DataFrame:
     s = _single(t).join(_panel(t).select(F.col("variant_idx").alias("target_idx"), "chromosome", "position"), "target_idx").withColumn("beta", F.expr(BETA))
-    full = stats.filled(t["panel"])
     models = s.select(F.col("target_idx").alias("unit_id"), "chromosome", "position", "intercept", "beta")
-    est = tiles.estimate_tiles(full, models, s.select(F.col("target_idx").alias("unit_id"), "predictor_idx", "coefficient"), 100 * WINDOW)
-    true = tiles.weighted_sum(full, s.select(F.col("target_idx").alias("variant_idx"), F.col("beta").alias("weight"), F.lit(False).alias("flip")))
+    est = tiles.estimate_tiles(t["panel"], models, s.select(F.col("target_idx").alias("unit_id"), "predictor_idx", "coefficient"), 100 * WINDOW)
+    true = tiles.weighted_sum(t["panel"], s.select(F.col("target_idx").alias("variant_idx"), F.col("beta").alias("weight"), F.lit(False).alias("flip")), fill=True)
     d = est.select("at", F.round("value", 9).alias("estimate")).join(true.select("at", F.round("value", 9).alias("truth")), "at")
     return d.join(t["samples"], "at").select("sample_idx", "truth", "estimate").persist()  # a row a sample, read again by every metric
 
 
+def _summed(t, resolved: DataFrame) -> DataFrame:
+    """The score of each sample over resolved terms, and how many dosages it rests on."""
+    w = resolved.filter("variant_idx is not null").select("variant_idx", F.col("beta").alias("weight"), "flip")
+    d = tiles.weighted_sum(t["panel"], w).join(t["samples"], "at")
+    return _rounded(d.select("sample_idx", F.col("value").alias("score"), F.col("n").alias("n_used")), "score")
+
+
 def _rounded(df: DataFrame, *cols: str, to: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, to) + 0.0 for c in cols})  # + 0.0: no -0.0
 
@@ -282,14 +288,14 @@ def impute_training_summary(t):
 
 @query("SELECT sample_idx, round(score, 6) + 0.0 AS score, CAST(n_used AS BIGINT) AS n_used FROM truth", RESOLVED, TRUE)
 def panel_true_score(t):
-    return _rounded(score.panel_score(t["dosages"], harmonize.resolve_alleles(t["prs"], t["panel_meta"])), "score")
+    return _summed(t, harmonize.resolve_alleles(t["prs"], t["panel_meta"]))
 
 
 @query("SELECT d.sample_idx, round(sum(coalesce(CASE WHEN flip THEN 2 - dosage ELSE dosage END * o.beta, 0)), 6) + 0.0 AS score, CAST(count(dosage) AS BIGINT) AS n_used FROM dosages d JOIN oriented o ON d.variant_idx = o.variant_idx JOIN matched USING (prs_row) WHERE matched_by IS NOT NULL GROUP BY d.sample_idx", KEYS, RESOLVED)
 def panel_observed_score(t):
     r = harmonize.resolve_alleles(t["prs"], t["panel_meta"])
     seen = harmonize.partition_by_platform(t["prs"], t["platform"]).filter("matched_by is not null").select("prs_row")
-    return _rounded(score.panel_score(t["dosages"], r.join(seen, "prs_row", "left_semi")), "score")
+    return _summed(t, r.join(seen, "prs_row", "left_semi"))
 
 
 @query("SELECT sample_idx, estimate, truth FROM scores", PREDICTED)
@@ -467,7 +473,7 @@ def panel_projected_score(t):
     """All models as regions: coefficients of a predictor add up before they meet the samples."""
     s = _single(t)
     w = s.groupBy(F.col("predictor_idx").alias("variant_idx")).agg(F.sum("coefficient").alias("weight")).withColumn("flip", F.lit(False))
-    d = tiles.weighted_sum(stats.filled(t["panel"]), w).join(F.broadcast(s.agg(F.sum("intercept").alias("c"))))
+    d = tiles.weighted_sum(t["panel"], w, fill=True).join(F.broadcast(s.agg(F.sum("intercept").alias("c"))))
     return d.join(t["samples"], "at").select("sample_idx", (F.round(F.col("value") + F.col("c"), 6) + 0.0).alias("score"))
 
 
