@@ -271,10 +271,61 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"{i // 256 + 1}.7.{i % 256}.9 a{i:04d}@b.org 4000{i:012d} +1 (212) 555-{i:04d}") for i in range(2000)]
-    assert pii.audit(pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k")) | {"reused": 0} == {"entities": 8000, "shared": 0, "reused": 0}
+    assert pii.audit(pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k")) | {"reused": 0} == {"entities": 8000, "shared": 0, "unchanged": 0, "reused": 0}
     assert pii.pseudonymise(odd(spark), "k").count() == 9 and pii.pseudonymise(empty(spark), "k").count() == 0
 
 
+def brute_shape(s, key, kind, alphabets):
+    """The permutation of strings of one shape, in plain Python."""
+
+    def move(c, by):
+        a = next((a for a in alphabets if c in a), None)
+        return a[(a.index(c) + by) % len(a)] if a else c
+
+    def shift(x, stream, sign):
+        return "".join(move(c, sign * int(stream[i % 64 * 2 : i % 64 * 2 + 2], 16)) for i, c in enumerate(x))
+
+    def network(x, order, sign):
+        left, right = x[: len(x) // 2], x[len(x) // 2 :]
+        for i in order:
+            fixed, moved = (left, right) if i % 2 == 0 else (right, left)
+            moved = shift(moved, hashlib.sha512(f"{key}|{kind}|{i}|{fixed}".encode()).hexdigest(), sign)
+            left, right = (fixed, moved) if i % 2 == 0 else (moved, fixed)
+        return left + right
+
+    y = network(s, range(1, 5), 1)
+    at = next((i for i, c in enumerate(y) if any(c in a for a in alphabets)), None)
+    y = y if at is None else y[:at] + move(y[at], 1) + y[at + 1 :]
+    return network(y, range(4, 0, -1), -1)
+
+
+def iban_ok(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_surrogates_equal_brute_force_and_leave_nothing(spark):
+    names = ["Łęő", "Şğ", "Yd", "Ωμέγα", "Жук", "Ab", "Мария", "Öz", "Weber"]
+    rows = [(i, f"Mr. {n} came. {n} left, {n}s did not.") for i, n in enumerate(names)]
+    rows += [(50, "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, card 3782 822463 10005 or 378282246310005."), (51, "2001:db8:0:0:0:ff00:42:8329, fe80::1ff:fe23, at 12:30:45"), (52, "Anna Müller wrote. Müller left. Frau Müller-Lüdenscheidt stays.")]
+    r = pii.replace(spark.createDataFrame(rows, "doc_id long, text string").withColumn("entities", F.lit(7)), "k")
+    got = {x.doc_id: x for x in r.collect()}
+    assert r.columns == ["doc_id", "text", "entities", "entities_"] and got[0].entities == 7
+    for i, n in enumerate(names):
+        e = got[i].entities_
+        given = brute_shape(n, "k", "name", pii._alphabets())
+        bare = [given] if len(n) > 2 else []
+        assert [x.given for x in e] == ["Mr. " + given, *bare] and given != n and given.islower() == n.islower()
+        assert got[i].text == f"Mr. {given} came. {given if bare else n} left, {n}s did not."
+    kinds = [(x.kind, x.found, x.given) for x in got[50].entities_]
+    assert [k for k, _, _ in kinds] == ["iban", "iban", "card", "card"] and all(iban_ok(b) for k, _, b in kinds if k == "iban") and all(luhn(b) % 10 == 0 for k, _, b in kinds if k == "card")
+    assert [x.kind for x in got[51].entities_] == ["ipv6", "ipv6"] and got[51].text.endswith("at 12:30:45")
+    assert [x.given for x in got[51].entities_] == [brute_shape(x.found, "k", "ipv6", (pii.HEX,)) for x in got[51].entities_]
+    first, alone, other = (x.given for x in got[52].entities_)
+    assert first.split()[1] == alone and first.split()[0] in pii.FEMALE and "Anna" not in got[52].text and "Müller left" not in got[52].text
+    assert pii.audit(r, "entities_")["unchanged"] == 0 and pii.audit(r, "entities_")["shared"] == 0
+
+
 # --- op 8 -------------------------------------------------------------------------------------------------------------
 
 
