@@ -54,10 +54,12 @@ class Shape:
 
 
 def fit(shaped: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Shape:
-    """Newton steps on train_rows labelled rows at most, held-out documents left out; without both labels all are equal."""
+    """Newton steps on train_rows labelled rows at most, held-out documents left out; without both labels all are equal. Of rows
+    that share a doc_id the one whose shapes come first stands for the label, whatever the order of tasks."""
     own = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
     own = own.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = shaped.join(F.broadcast(own), "doc_id").select("quality", *SHAPES).limit(2 * train_rows).toPandas()
+    rows = shaped.join(F.broadcast(own), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*SHAPES)).alias("x"))  # one row a label
+    rows = rows.select("doc_id", "quality", "x.*").toPandas().sort_values("doc_id")
     y, x = rows["quality"].to_numpy(float), rows[list(SHAPES)].to_numpy(float)
     width = 2 * len(SHAPES)
     if len(set(y)) < 2:
@@ -94,8 +96,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     doc_p is the classifier's probability that a text is good. Every document counts as doc_p good documents of its host
     and of its path (host and path together). Hosts shrink toward the global share and paths toward their host, each by a
     strength that the variation between sites suggests, so that sparse sites keep close to what stands above them. score
-    adds a path's log-odds beyond the global ones to the document's. kept: score >= threshold. Null hosts and paths are
-    sites of their own. Empty and null texts have the evidence of no shape. Sites are aggregated before they are joined.
+    adds a path's log-odds beyond the global ones to the document's; host_p and path_p leave the document itself out, so that
+    none counts twice. kept: score >= threshold. Null hosts and paths are sites of their own. Empty and null texts have the
+    evidence of no shape; rows that repeat a doc_id are documents of their own; an empty table gives an empty result. Sites are
+    aggregated before they are joined.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
     shaped = cut(d.select("doc_id", "host", "path", *(c.alias(k) for k, c in shapes(F.col("text")).items())))
@@ -106,12 +110,16 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     n, s = hosts.agg(F.sum("n"), F.sum("s")).first()
     overall = min(1 - 1e-6, max(1e-6, (s or 0.5) / (n or 1)))
     k = strength(hosts, overall)
-    hosts = cut(hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), ((F.col("s") + k * overall) / (F.col("n") + k)).alias("host_p")))
-    paths = paths.join(small(hosts), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    k = strength(paths, F.col("host_p"))
-    paths = cut(paths.select(F.col("host").alias("h"), F.col("path").alias("q"), "host_n", "host_p", ((F.col("s") + k * F.col("host_p")) / (F.col("n") + k)).alias("path_p")))
+    overall_k = k
+    bound = lambda c: F.least(F.greatest(c, F.lit(1e-9)), F.lit(1 - 1e-9))
+    of_host = lambda own, left=1: (F.col("host_s") - own + overall_k * overall) / (F.col("host_n") - left + overall_k)
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    paths = paths.join(small(cut(hosts)), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    k = strength(paths, of_host(F.lit(0.0), 0))
+    paths = cut(paths.select(F.col("host").alias("h"), F.col("path").alias("q"), "host_n", "host_s", F.col("n").alias("path_n"), F.col("s").alias("path_s")))
     out = p.join(small(paths), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
     logit = lambda c: F.log(c / (1 - c))
-    score = 1 / (1 + F.exp(-(F.col("z") + logit(F.greatest(F.least("path_p", F.lit(1 - 1e-9)), F.lit(1e-9))) - float(np.log(overall / (1 - overall))))))
-    out = out.withColumn("score", score)
+    out = out.withColumn("host_p", bound(of_host(F.col("doc_p"))))
+    out = out.withColumn("path_p", bound((F.col("path_s") - F.col("doc_p") + k * F.col("host_p")) / (F.col("path_n") - 1 + k)))
+    out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("z") + logit(F.col("path_p")) - float(np.log(overall / (1 - overall)))))))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "doc_p", "host_n", "host_p", "path_p", "score", (F.col("score") >= threshold).alias("kept"))
