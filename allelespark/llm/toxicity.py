@@ -84,7 +84,14 @@ class Lexicon:
                 harmless.append((start, end))
             else:
                 hits[start] = max(w, hits.get(start, 0.0))
-        total = sum(w for s, w in hits.items() if not any(a <= s < b for a, b in harmless))
+        total, at, reach = 0.0, 0, -1  # hits and phrases side by side, both by their beginnings
+        harmless.sort()
+        for s in sorted(hits):
+            while at < len(harmless) and harmless[at][0] <= s:
+                reach = max(reach, harmless[at][1])
+                at += 1
+            if s >= reach:
+                total += hits[s]
         return math.log1p(total), total / max(1, t.count(" ") - 1)
 
     def probability(self, x: tuple[float, float]) -> float:
@@ -212,7 +219,8 @@ def _scored(lexicon: Lexicon, text_at: int):
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text); only the text is an input of the score.
 
-    Whole texts are folded and matched. Null and empty texts have no hit and get the score of none. Nothing is shuffled.
+    Whole texts are folded and matched. Null and empty texts have no hit and get the score of none; repeated rows have equal
+    scores; an empty table gives an empty result. Nothing is shuffled.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(lexicon, 1), "doc_id long, score double")
     return d.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -230,5 +238,6 @@ def _clean(lexicon: Lexicon, text_at: int, threshold: float):
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
-    """docs without the rows whose text scores threshold or more; all columns stay as they are."""
+    """docs without the rows whose text scores threshold or more; all columns stay as they are. Null and empty texts stay,
+    repeated rows share their fate, an empty table stays empty."""
     return docs.mapInArrow(_clean(lexicon, docs.columns.index("text"), threshold), docs.schema)
