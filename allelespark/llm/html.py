@@ -15,6 +15,8 @@ from .common import slices
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "textarea", "title", "object", "canvas", "video", "audio", "select"}
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset"}
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold text themselves: within an article or main element their class and id don't make them boilerplate.
+TEXTUAL = set("a abbr b blockquote caption cite code dd dt em figcaption h1 h2 h3 h4 h5 h6 i kbd li mark p pre q s samp small span strong sub sup td th time u".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NAMED = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|header|footer|masthead|comments?|commentlist|respond|disqus|replies|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|disclaimer)(?:$|[-_\s0-9])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
@@ -25,7 +27,7 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidde
 WINDOW = 3
 
 
-def _unwanted(name: str, attributes: str) -> bool:
+def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     if name in BOILERPLATE:
         return True
     if name in ("html", "body", "article", "main") or not attributes.strip(" />"):
@@ -34,7 +36,7 @@ def _unwanted(name: str, attributes: str) -> bool:
         key, value = key.lower(), value.strip("\"'")
         if hidden or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and NAMED.search(value) or key == "role" and value.lower() in ROLES:
+        if key in ("class", "id") and not (inside and name in TEXTUAL) and NAMED.search(value) or key == "role" and value.lower() in ROLES:
             return True
     return False
 
@@ -101,7 +103,7 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
             elif not closing and name not in VOID and not attributes.rstrip(">").endswith("/"):
                 closed.append(name)
             continue
-        if not closing and name not in VOID and _unwanted(name, attributes.rstrip(">")):
+        if not closing and name not in VOID and _unwanted(name, attributes.rstrip(">"), inside > 0):
             gap()
             if name != "head" or re.search(r"</head", page[at:], re.I):
                 closed = [name]

@@ -344,6 +344,15 @@ def test_pages(spark):
     assert [x.text for x in html.extract(rows).orderBy(F.desc("page_id")).collect()] == ["", "a"]
 
 
+def test_named_headings_and_paragraphs_of_an_article_stay(spark):
+    p = html.main_text
+    assert p('<article><h1 class="post-header">Title</h1><p class="share-price">The share price rose.</p><p id="login">Login failed.</p><div class="share-buttons">Tweet</div><p>Body</p></article>') == "Title The share price rose. Login failed. Body"
+    assert p('<p class="advert">Buy</p><article><p>Body</p></article>') == "Body"
+    rows = [(i, "u", "<article>" + "<p>word &amp; word</p>" * n + "</article>") for i, n in ((1, 1), (1, 1), (2, 60_000))]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(x.n_chars for x in got) == [11, 11, 12 * 60_000 - 1] and html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_windows_of_links_hold_no_text():
     p = html.main_text
     menu = "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(5))
@@ -375,6 +384,31 @@ def test_quality(spark):
     assert quality.classify(odd(spark), labels).count() == 9 and quality.classify(empty(spark), labels.limit(0)).count() == 0
 
 
+def test_quality_equals_plain_python(spark):
+    """Posteriors of sites that leave each document out, against loops over the classifier's evidence."""
+    sf = SF.replace("0.001", "0.01")
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 400")
+    got = quality.classify(docs, labels).join(docs.select("doc_id", "source", "lang"), "doc_id").toPandas()
+    host, path = got.groupby("source", dropna=False), got.groupby(["source", "lang"], dropna=False)
+    n, s = path.doc_p.count(), path.doc_p.sum()
+    overall = got.doc_p.mean()
+
+    def strength(n, s, prior):
+        spread = (n * prior * (1 - prior)).sum() / n.sum()
+        tau = ((n * (s / n - prior) ** 2).sum() - len(n) * spread) / max(n.sum() - (n * n).sum() / n.sum(), 1e-9)
+        return min(quality.STRENGTH[1], max(quality.STRENGTH[0], spread / tau - 1 if tau > 0 else quality.STRENGTH[1]))
+
+    hn, hs = host.doc_p.count(), host.doc_p.sum()
+    k1 = strength(hn.to_numpy(float), hs.to_numpy(), np.full(len(hn), overall))
+    prior = np.array([(hs[h] + k1 * overall) / (hn[h] + k1) for h, _ in n.index])
+    k2 = strength(n.to_numpy(float), s.to_numpy(), prior)
+    for x in got.itertuples():
+        hp = (hs[x.source] - x.doc_p + k1 * overall) / (hn[x.source] - 1 + k1)
+        pp = (s[(x.source, x.lang)] - x.doc_p + k2 * hp) / (n[(x.source, x.lang)] - 1 + k2)
+        z = np.log(x.doc_p / (1 - x.doc_p)) + np.log(pp / (1 - pp)) - np.log(overall / (1 - overall))
+        assert abs(x.host_p - hp) < 1e-6 and abs(x.path_p - pp) < 1e-6 and abs(x.score - 1 / (1 + np.exp(-z))) < 1e-6
+
+
 def test_sparse_sites_shrink(spark):
     sites = spark.createDataFrame([(1000.0, 900.0), (1000.0, 500.0), (5.0, 0.0)], "n double, s double")
     assert 1 < quality.strength(sites, 0.69) < 100 and quality.strength(spark.createDataFrame([(10.0, 5.0)], "n double, s double"), 0.5) == quality.STRENGTH[1]
@@ -405,6 +439,26 @@ def test_toxicity(spark):
     assert len(odd_scores) == 9 and all(0 <= x.score < 0.3 for x in odd_scores) and toxicity.score(empty(spark), lexicon).count() == 0
 
 
+def test_matching_equals_plain_search():
+    """Weights of hits outside exception phrases, by looking for every entry at every place."""
+    r = random.Random(8)
+    words = ["trash", "can", "clown", "fish", "scum", "pond", "trashy", "x"]
+    lexicon = toxicity.Lexicon(weights={" trash ": 2.0, " tras": 1.0, " scum ": 3.0, " clown": 0.5}, exceptions=("trash can", "clown fish", "fish trash"))
+    m = lexicon.matcher()
+    for _ in range(300):
+        text = " ".join(r.choice(words) for _ in range(r.randint(0, 30)))
+        t = toxicity.fold(text)
+        inside = {i for e in lexicon.exceptions for i in range(len(t)) if t.startswith(toxicity.fold(e), i) for i in range(i, i + len(toxicity.fold(e)) - 1)}
+        hits = {}
+        for k, w in lexicon.weights.items():
+            for i in range(len(t)):
+                if t.startswith(k, i):
+                    hits[i] = max(w, hits.get(i, 0.0))
+        total = sum(w for i, w in hits.items() if i not in inside)
+        got = lexicon.measure(text, m)
+        assert abs(got[0] - np.log1p(total)) < 1e-9 and abs(got[1] - total / max(1, len(text.split()))) < 1e-9
+
+
 def test_exceptions_and_no_labels(spark):
     lexicon = toxicity.Lexicon(weights={" trash ": 5.0})
     m = lexicon.matcher()
@@ -433,5 +487,6 @@ def test_pipeline(spark):
     want = brute_components(word_sets([(x.doc_id, x.text) for x in docs.collect()], 5), 80)
     assert {x.doc_id for x in kept.collect()} == {i for i, c in want.items() if i == c}
     stages = {n: f for n, f in p.STAGES}
+    assert stages["byte_bpe"](spark, odd(spark), sf).count() == 9 and stages["byte_bpe"](spark, empty(spark), sf).count() == 0
     for name in ("minhash_near_dedup", "secret_scan", "mix_sources", "toxicity"):
         assert stages[name](spark, odd(spark), sf).columns == odd(spark).columns and stages[name](spark, empty(spark), sf).count() == 0
