@@ -11,23 +11,27 @@ from allelespark.llm.queries import VOCABULARY
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon learned from the labels doesn't reject."""
+    """Documents that the lexicon learned from the labels doesn't reject. Null and empty texts have no hit and stay, rows that
+    repeat share their fate, an empty table stays empty; without labels of both kinds the built-in entries decide."""
     return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares five-word shingles at a similarity of 0.8; documents without words stay."""
+    """One document of each group that shares five-word shingles at a similarity of 0.8. Documents without words and rows
+    without a doc_id stay, rows that repeat a doc_id share its fate, an empty table stays empty."""
     found = cut(minhash.near_duplicates(docs, k=5, similarity=80).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
     return docs.join(small(found), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret in their texts replaced by a mark."""
+    """All documents, every secret in their texts replaced by a mark; null and empty texts stay as they are, repeated rows are
+    treated alike, an empty table stays empty."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice. Null texts have no words and are taken by their rank,
+    rows that repeat a doc_id share the greatest number of copies, a null doc_id is one id, an empty table stays empty."""
     taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("taken_copies"))
     taken = cut(taken.filter("taken_copies > 0"))
     out = docs.join(small(taken), docs["doc_id"].eqNullSafe(taken["taken_id"]))
@@ -35,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token ids and slice offsets, with the digests of the ids and of what they decode to."""
+    """Every document's token ids and slice offsets, with the digests of the ids and of what they decode to; null and empty texts
+    have no ids, a row for each row, an empty table gives an empty result."""
     return bpe.encode(docs, VOCABULARY, full=True)
 
 
