@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, doc_columns, slices, small, store
@@ -13,8 +13,8 @@ from .components import components
 
 #: Bands of rows a signature is cut into: a pair at similarity 0.8 shares none with probability (1 - 0.8^5)^28 < 2e-5.
 BANDS, ROWS = 28, 5
-#: Members of a bucket that are compared in one task; larger buckets are compared block by block.
-BLOCK = 1000
+#: Members of a bucket, and about how many shingles, that are compared in one task; larger buckets go block by block.
+BLOCK, BLOCK_SHINGLES = 500, 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,53 +135,53 @@ def _confirm(percent: int):
 
 
 def _bucket_links(percent: int):
-    """Links that join different components within a bucket (or two blocks of one): compares each member with all that
-    are not joined to it yet, by one pass over the bucket's shingles, and never writes pairs out."""
+    """Links that join different components within a bucket, or between a block of its odd members (those outside its
+    largest component) and a block of all: compares each odd member with all that are not joined to it yet, by one pass
+    over the shingles, and never writes pairs out."""
 
-    def run(pdf):
-        import pandas as pd
+    def run(rows):
+        import pyarrow as pa
 
-        pdf = pdf.sort_values("id")
-        ids, comp = pdf["id"].to_numpy(), pdf["component"].to_numpy()
-        sizes = np.array([len(s) for s in pdf["shingles"]])
-        vocabulary, flat = np.unique(np.concatenate(list(pdf["shingles"])), return_inverse=True)
+        rows = rows.sort_by("id").combine_chunks()
+        ids, odd = rows.column("id").to_numpy(), rows.column("odd").to_numpy()
+        root = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+        lists = pa.concat_arrays(rows.column("shingles").chunks)
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        vocabulary, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        local = {c: c for c in comp}
-
-        def find(c):
-            while local[c] != c:
-                local[c] = c = local[local[c]]
-            return c
-
-        mark, out = np.zeros(len(vocabulary), np.int32), []
-        for i in range(len(ids)):
-            roots = np.array([find(c) for c in comp])
-            if (roots == roots[i]).all():
+        mark, a, b = np.zeros(len(vocabulary), np.int32), [], []
+        for i in np.flatnonzero(odd):
+            if (root == root[i]).all():
                 break
             own = flat[starts[i] : starts[i] + sizes[i]]
             mark[own] = 1
             both = np.add.reduceat(mark[flat], starts)
             mark[own] = 0
-            hit = (100 * both >= percent * (sizes + sizes[i] - both)) & (roots != roots[i])
-            for j in np.flatnonzero(hit):
-                a, b = find(comp[i]), find(comp[j])
-                if a != b:
-                    local[max(a, b)] = min(a, b)
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            for j in np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (root != root[i])):
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def _blocks(members: Column, shingles: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text): documents whose sets of k-word shingles have
     100 * intersection >= similarity * union are linked; a component's id is its smallest doc_id, which is kept.
 
     Words are runs without ASCII white space, A-Z lower-cased. Rows with equal sets are one class, whatever their number.
     Candidates share a band of their SuperMinHash signatures. Each bucket's classes are first compared with its
-    smallest; buckets that still hold several components are compared wholly, in blocks. All links rest on full sets.
+    smallest; where a bucket still holds several components, all members outside its largest one are compared with all of
+    it, in blocks. All links rest on full sets.
     Null or wordless texts are linked with nothing and are kept; a null doc_id takes part as a text and is never kept
-    unless its text is wordless (component_id is then null); rows that share a doc_id are one document and share its fate.
+    unless its text is wordless (component_id is then null); rows that share a doc_id are one document and share its
+    fate; where their texts differ, the least of their sets stands for it.
     """
     docs = doc_columns(docs, "doc_id", "text")
     signed = store(docs.mapInArrow(_signed(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, bands: in
     shared = store(banded.join(buckets, ["band", "hash"]))
     stars = cut(shared.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     wanted = cut(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct())
-    sets = store(docs.filter("doc_id is not null").join(small(wanted).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>").dropDuplicates(["id"]))
+    sets = store(docs.filter("doc_id is not null").join(small(wanted).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>").groupBy("id").agg(F.min("shingles").alias("shingles")))
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     links = cut(stars.join(right, "b").join(left, "a").mapInArrow(_confirm(similarity), "a long, b long"))
     found = cut(components(links))
@@ -201,12 +201,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, bands: in
     # buckets of three and more whose members are not yet one component: the smallest was compared, the others were not
     member = shared.filter("members > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "hash", "leader", "members", "id", F.coalesce("component", "id").alias("component"))
     open_ = member.groupBy("band", "hash", "leader", "members").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("id")).alias("xor")).filter("low <> high")
-    open_ = open_.groupBy("leader", "members", "sum", "xor").agg(F.min(F.struct("band", "hash")).alias("at")).select("at.band", "at.hash", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rest = member.join(open_, ["band", "hash"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rest = cut(rest.select("band", "hash", "i", "j", "block", "id", "component"))
+    open_ = open_.groupBy("leader", "members", "sum", "xor").agg(F.min(F.struct("band", "hash")).alias("at")).select("at.band", "at.hash")
+    rest = cut(member.join(open_, ["band", "hash"]).select("band", "hash", "id", "component"))
     if rest.limit(1).count():
-        more = cut(rest.join(sets, "id").groupBy("band", "hash", "i", "j").applyInPandas(_bucket_links(similarity), "a long, b long"))  # cut, so that no task needs two Python workers
+        # every link that is missing has an end outside the bucket's largest component: these odd members meet all others
+        at = ["band", "hash"]
+        main = rest.groupBy(*at, "component").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+        rest = cut(rest.join(main, at).select(*at, "id", "component", (F.col("component") != F.col("main")).alias("odd")).join(sets.select("id", F.size("shingles").alias("n")), "id"))
+        many = rest.groupBy(*at).agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), _blocks(F.count_if("odd"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0))).alias("odd_blocks"))
+        rest = rest.join(many, at).withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "odd_block": F.pmod(F.xxhash64("id", F.lit(1)), F.col("odd_blocks")).cast("int")})
+        to_all = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1))).withColumn("odd", F.col("odd") & (F.col("i") == F.col("odd_block"))).withColumn("j", F.col("block"))
+        to_odd = rest.filter("odd").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("j <> block").withColumn("i", F.col("odd_block"))
+        dealt = to_all.select(*at, "i", "j", "id", "component", "odd").union(to_odd.select(*at, "i", "j", "id", "component", "odd"))
+        more = cut(dealt.join(sets, "id").groupBy(*at, "i", "j").applyInArrow(_bucket_links(similarity), "a long, b long"))  # cut, so that no task needs two Python workers
         found = cut(components(links.union(more)))
 
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))

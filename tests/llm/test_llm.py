@@ -76,6 +76,36 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert all(x.n_shingles == len(sets[i]) and x.kept == (want[i] == i) for i, x in got.items())
 
 
+def test_near_duplicates_open_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
+    r = random.Random(9)
+    base = [[r.choice("abcdefghijklmnop") for _ in range(60)] for _ in range(5)]
+    rows = []
+    for i in range(90):
+        t = list(base[i % 5])
+        for _ in range(i % 7):
+            t[r.randrange(60)] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(t)))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, bands=60, rows=1).collect()}
+    assert got == brute_components(word_sets(rows, 2), 80)
+
+
+def test_bucket_links_join_what_odd_members_reach():
+    import pyarrow as pa
+
+    sets = [[1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [7, 8, 9], [1, 2, 3, 4, 6], [70, 80]]
+    t = pa.table({"id": range(5), "component": [0, 0, 2, 3, 4], "odd": [False, False, True, True, True], "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    got = minhash._bucket_links(80)(t).to_pylist()
+    assert [(x["a"], x["b"]) for x in got] == [(3, 1)]
+
+
+def test_near_duplicates_repeated_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "p q r s t u"), (3, "a b c d e f")]
+    got = {(x.doc_id, x.component_id, x.kept) for n in (1, 5) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), 2).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False)}
+
+
 def test_near_duplicates_odd_rows(spark):
     got = [(x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(odd(spark), 2).collect()]
     assert sorted(got, key=str) == sorted([(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 5, False), (6, 5, False), (7, 7, True), (None, None, False)], key=str)
@@ -200,13 +230,15 @@ def test_long_secrets_of_any_alphabet():
 # --- op 4 -------------------------------------------------------------------------------------------------------------
 
 
-def test_near_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize(("block", "cell"), [(1500, "float"), (20, "double")])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, block, cell):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
     r = np.random.RandomState(2)
     x = r.randn(300, 32)
     x[100:200] = x[:100] + 0.15 * r.randn(100, 32)
     x[200:230] = x[7]
     rows = [(i, v.astype("float32").tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 32), (902, [float("nan")] + [1.0] * 31), (903, [None] + [1.0] * 31), (904, []), (None, x[0].tolist())]
-    got = {z.vec_id: z for z in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(0))).collect()}
+    got = {z.vec_id: z for z in embeddings.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{cell}>").withColumn("id", F.lit(0))).collect()}
     y = x.astype("float32").astype(float)
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     near = y @ y.T >= 0.95
