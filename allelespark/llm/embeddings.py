@@ -73,7 +73,7 @@ def _links(cosine: float):
         ids, copies, block = (rows.column(c).to_numpy() for c in ("id", "copies", "block"))
         x = _matrix(pa.concat_arrays(rows.column("vector").chunks), width)
         x /= np.sqrt((x * x).sum(1))[:, None]
-        keys = pa.concat_arrays(rows.column("keys").chunks).flatten().to_numpy().reshape(len(ids), -1)[:, :table]
+        keys = pa.concat_arrays(rows.column("keys").chunks).flatten().to_numpy().reshape(len(ids), table)  # of the tables before this one
         count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for a in range(0, len(ids), 256):
             near = x[a : a + 256] @ x[a:].T >= cosine
@@ -122,7 +122,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, seed: int = 11) ->
     member = keyed.select("*", F.size("vector").alias("width"), F.posexplode("keys").alias("table", "key")).join(buckets, ["table", "width", "key"])
     member = member.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = member.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = store(member.select("table", "width", "key", "i", "j", "id", "vector", "copies", "keys", "block").groupBy("table", "width", "key", "i", "j").applyInArrow(_links(cosine), "a long, b long, n long"))
+    found = store(member.select("table", "width", "key", "i", "j", "id", "vector", "copies", F.slice("keys", F.lit(1), F.col("table")).alias("keys"), "block").groupBy("table", "width", "key", "i", "j").applyInArrow(_links(cosine), "a long, b long, n long"))
     joined = components(found.filter("b is not null").select("a", "b"))
     counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "id")
     named = classes.select("h1", "h2", "id", "copies").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
