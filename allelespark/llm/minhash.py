@@ -202,14 +202,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, bands: in
     member = shared.filter("members > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "hash", "leader", "members", "id", F.coalesce("component", "id").alias("component"))
     open_ = member.groupBy("band", "hash", "leader", "members").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("id")).alias("xor")).filter("low <> high")
     open_ = open_.groupBy("leader", "members", "sum", "xor").agg(F.min(F.struct("band", "hash")).alias("at")).select("at.band", "at.hash")
-    rest = cut(member.join(open_, ["band", "hash"]).select("band", "hash", "id", "component"))
+    open_ = cut(open_)
+    rest = cut(member.join(small(open_), ["band", "hash"]).select("band", "hash", "id", "component"))
     if rest.limit(1).count():
         # every link that is missing has an end outside the bucket's largest component: these odd members meet all others
         at = ["band", "hash"]
-        main = rest.groupBy(*at, "component").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-        rest = cut(rest.join(main, at).select(*at, "id", "component", (F.col("component") != F.col("main")).alias("odd")).join(sets.select("id", F.size("shingles").alias("n")), "id"))
-        many = rest.groupBy(*at).agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), _blocks(F.count_if("odd"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0))).alias("odd_blocks"))
-        rest = rest.join(many, at).withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "odd_block": F.pmod(F.xxhash64("id", F.lit(1)), F.col("odd_blocks")).cast("int")})
+        main = cut(rest.groupBy(*at, "component").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max(F.struct("n", "component"))["component"].alias("main")))
+        rest = cut(rest.join(small(main), at).select(*at, "id", "component", (F.col("component") != F.col("main")).alias("odd")).join(sets.select("id", F.size("shingles").alias("n")), "id"))
+        many = cut(rest.groupBy(*at).agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), _blocks(F.count_if("odd"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0))).alias("odd_blocks")))
+        rest = rest.join(small(many), at).withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "odd_block": F.pmod(F.xxhash64("id", F.lit(1)), F.col("odd_blocks")).cast("int")})
         to_all = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1))).withColumn("odd", F.col("odd") & (F.col("i") == F.col("odd_block"))).withColumn("j", F.col("block"))
         to_odd = rest.filter("odd").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("j <> block").withColumn("i", F.col("odd_block"))
         dealt = to_all.select(*at, "i", "j", "id", "component", "odd").union(to_odd.select(*at, "i", "j", "id", "component", "odd"))
