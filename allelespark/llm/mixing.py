@@ -18,6 +18,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def length_class(size: Column) -> Column:
+    """Weight of a document in its source: one more than the binary digits of its size, so 1 without words, 11 from 512 on."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(0) + 1
+
+
 def uniform(key: Column, seed: int) -> Column:
     """A keyed number in (0, 1) that any engine with MD5 can repeat: 48 bits, in the middle of their cell."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 12)
@@ -47,23 +52,44 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float =
     return w.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
-def sample(docs: DataFrame, goals: DataFrame, seed: int = 1) -> DataFrame:
-    """docs(doc_id, source, size) with source_size, target and copies, one row for each input row.
+def inclusion(classes: DataFrame, goals: DataFrame, most: float = 2.0) -> DataFrame:
+    """classes(source, weight, words), one row per source and weight, with source_size, target, whole, p and left.
 
-    A source's documents are wanted target / source_size times each. The whole part is allotted to every one. For the
-    rest each document has the inclusion odds p / (1 - p), p the fractional part; documents are ranked by the odds of a
-    keyed uniform number divided by the inclusion odds, and taken in that order as long as their sizes fit the source's
-    remaining words. The place after the last goes to that later document whose size comes nearest to what is left,
-    if that is nearer than none. The last place is found by two rounds of binned sums, so that no task sorts a source;
-    only the rows of one bin in 16 million, ties included, are ordered together. Reruns agree. Rows that tie in rank
-    are taken in the order of their size and doc_id.
+    Every document is wanted level * weight times, most times at most, the level of a source such that the wanted words
+    add up to its target. The heaviest classes are the ones that stop at most, so a running sum from the heaviest down
+    finds the level. whole is the number of certain copies, p the odds of one more, left what the certain copies leave
+    of the target. A source without words is wanted not at all. The windows go over the weights of one source.
+    """
+    c = classes.join(small(goals), classes["source"].eqNullSafe(goals["src"])).drop("src")
+    own = Window.partitionBy("source")
+    heavier = own.orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+    lighter = own.orderBy("weight").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"heavy": F.coalesce(F.sum("words").over(heavier), F.lit(0)), "mass": F.sum(F.col("words") * F.col("weight")).over(lighter)})
+    level = F.when(F.col("mass") > 0, (F.col("target") - most * F.col("heavy")) / F.col("mass"))
+    goes_on = F.when(F.col("weight") * level < most, F.struct("weight", level.alias("level")))
+    c = c.withColumn("level", F.max(goes_on).over(own)["level"])  # the heaviest that doesn't stop
+    wanted = F.when(F.col("source_size") > 0, F.least(F.col("weight") * F.col("level"), F.lit(most))).otherwise(F.lit(0.0))
+    c = c.withColumns({"whole": F.floor(wanted), "p": wanted - F.floor(wanted)})
+    left = F.floor(F.col("target") - F.sum(F.col("whole") * F.col("words")).over(own)).cast("long")
+    return c.select("source", "weight", "source_size", "target", "whole", "p", F.greatest(left, F.lit(0)).alias("left"))
+
+
+def sample(docs: DataFrame, odds: DataFrame, seed: int = 1) -> DataFrame:
+    """docs(doc_id, source, size, weight) with source_size, target and copies, one row for each input row.
+
+    The certain copies of inclusion() are allotted first. For one copy more each document has the inclusion odds
+    p / (1 - p) of its class; a source's documents are ranked by the odds of a keyed uniform number divided by these
+    inclusion odds, and taken in that order as long as their sizes fit the source's remaining words, so the size that
+    is fixed is the number of words. The place after the last goes to that later document whose size comes nearest to
+    what is left, if that is nearer than none. The last place is found by two rounds of binned sums, so that no task
+    sorts a source; only the rows of one bin in 16 million, ties included, are ordered together. Reruns agree. Rows that
+    tie in rank are taken in the order of their size and doc_id.
     """
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)
-    d = docs.join(small(goals), docs["source"].eqNullSafe(goals["src"]), "left").drop("src")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    d = d.withColumns({"whole": F.floor(ratio), "p": ratio - F.floor(ratio), "u": u})
-    q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    d = d.withColumns({"rank": F.when(F.col("p") > 0, q / (1 + q)), "left": F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")})
+    o = odds.withColumnsRenamed({"source": "src", "weight": "class"})
+    d = docs.join(small(o), docs["source"].eqNullSafe(o["src"]) & (docs["weight"] == o["class"]), "left").drop("src", "class", "weight")
+    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    d = d.withColumn("rank", F.when(F.col("p") > 0, q / (1 + q)))
     fine = F.least(F.floor(F.col("rank") * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
     d = cut(d.withColumns({"bin": F.floor(fine / BINS), "sub": F.pmod(fine, F.lit(BINS))}))
     ranked = d.filter("rank is not null")
@@ -108,10 +134,13 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     """(doc_id, source, size, source_size, target, copies, taken) for docs(doc_id, text, source), one row per row.
 
     size counts words (null text: 0); documents without words are taken as often as their ranks say and add nothing.
+    Longer documents are wanted more often, by the number of binary digits of their size.
     A null source is a source, the last in order. taken = size * copies, at most `most` times the size, rounded up.
     Rows that repeat a doc_id share its rank. An empty table gives an empty result.
     """
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    size = n_words(F.col("text"))
+    sized = cut(docs.select("doc_id", "source", size.alias("size"), length_class(size).alias("weight")))
+    classes = cut(sized.groupBy("source", "weight").agg(F.sum("size").alias("words")))
+    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
     goals = cut(targets(sizes, cycle, share, most).withColumnRenamed("source", "src").drop("weight"))
-    return sample(sized, goals, seed).withColumn("taken", F.col("size") * F.col("copies"))
+    return sample(sized, cut(inclusion(classes, goals, most)), seed).withColumn("taken", F.col("size") * F.col("copies"))

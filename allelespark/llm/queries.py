@@ -44,25 +44,39 @@ weighed AS (
   SELECT source, source_size, weight, (SELECT arg_min(l, place) FROM level WHERE weight * l < 2.0::DOUBLE * source_size) AS l FROM level
 ), goals AS (
   SELECT source, source_size, coalesce(least(weight * l, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target FROM level2
-), wanted AS (
-  SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS ratio,
-    (('0x' || substr(md5('1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+), classes AS (
+  SELECT source, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END + 1 AS wide, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY ALL
+), spread AS (
+  SELECT c.*, g.source_size, g.target,
+    coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY wide DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heavy,
+    sum(words * wide) OVER (PARTITION BY c.source ORDER BY wide ROWS UNBOUNDED PRECEDING) AS mass
+  FROM classes c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source
+), leveled AS (SELECT *, (target - 2.0::DOUBLE * heavy) / nullif(mass, 0) AS l FROM spread),
+chosen AS (SELECT source, max_by(l, wide) AS l FROM leveled WHERE wide * l < 2.0::DOUBLE GROUP BY source),
+wishes AS (
+  SELECT s.*, CASE WHEN source_size > 0 THEN least(wide * coalesce(c.l, 2.0::DOUBLE), 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS wanted
+  FROM spread s LEFT JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source
+), certain AS (
+  SELECT source, wide, source_size, target, CAST(floor(wanted) AS BIGINT) AS whole, wanted - floor(wanted) AS p,
+    greatest(CAST(floor(target - sum(CAST(floor(wanted) AS BIGINT) * words) OVER (PARTITION BY source)) AS BIGINT), 0) AS remain
+  FROM wishes
 ), odds AS (
-  SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS p,
-    CASE WHEN ratio - floor(ratio) > 0 THEN (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) END AS q FROM wanted
-), ranked AS (
-  SELECT *, q / (1 + q) AS rank, CAST(floor(target - whole * source_size) AS BIGINT) AS remain FROM odds
+  SELECT d.*, c.source_size, c.target, c.whole, c.p, c.remain,
+    (('0x' || substr(md5('1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM sized d JOIN certain c ON d.source IS NOT DISTINCT FROM c.source AND CASE WHEN d.size > 0 THEN length(bin(d.size)) ELSE 0 END + 1 = c.wide
+), drawn AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM odds),
+ranked AS (
+  SELECT *, q / (1 + q) AS rank FROM drawn
 ), running AS (
   SELECT *, CASE WHEN p > 0 THEN sum(size) OVER (PARTITION BY source, p > 0 ORDER BY rank, size, doc_id ROWS UNBOUNDED PRECEDING) END AS cum FROM ranked
 ), stops AS (SELECT source, max(CASE WHEN cum <= remain THEN cum ELSE 0 END) AS held, max(remain) AS remain FROM running WHERE p > 0 GROUP BY source),
 best AS (
-  SELECT source, doc_id, size, rank, row_number() OVER (PARTITION BY r.source ORDER BY abs(size - (s.remain - s.held)), rank, size, doc_id) AS n,
+  SELECT r.source, doc_id, size, rank, row_number() OVER (PARTITION BY r.source ORDER BY abs(size - (s.remain - s.held)), rank, size, doc_id) AS n,
     abs(size - (s.remain - s.held)) < s.remain - s.held AS better
-  FROM running r JOIN stops s USING (source) WHERE r.cum > s.remain
+  FROM running r JOIN stops s ON r.source IS NOT DISTINCT FROM s.source WHERE r.cum > s.remain
 )
 SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * (r.whole + x.e) AS BIGINT) AS taken, CAST(r.whole + x.e AS BIGINT) AS copies
-FROM running r LEFT JOIN (SELECT * FROM best WHERE n = 1 AND better) b ON r.source = b.source AND r.doc_id = b.doc_id AND r.p > 0,
+FROM running r LEFT JOIN (SELECT * FROM best WHERE n = 1 AND better) b ON r.source IS NOT DISTINCT FROM b.source AND r.doc_id = b.doc_id AND r.p > 0,
 LATERAL (SELECT CASE WHEN r.p > 0 AND (r.cum <= r.remain OR b.doc_id IS NOT NULL) THEN 1 ELSE 0 END AS e) x
 """
 

@@ -142,6 +142,59 @@ def test_mixing_odd_rows(spark):
     assert len(got) == 9 and all(0 <= x.taken <= 2 * x["size"] for x in got) and mixing.mix(empty(spark)).count() == 0
 
 
+def brute_mix(rows, cycle=(3, 1, 2), share=1.5, most=2.0):
+    """copies by doc_id for rows of (doc_id, text, source), by loops: bisected levels, one sorted list a source."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    of = {s: [i for i, _, x in rows if x == s] for s in {s for *_, s in rows}}
+    names = sorted(of, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i in of[s]) for s in names}
+    weight = {s: cycle[n % len(cycle)] for n, s in enumerate(names)}
+
+    def level(want, words):
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words(mid) < want else (low, mid)
+        return high
+
+    top = level(share * sum(total.values()), lambda x: sum(min(most * total[s], x * weight[s]) for s in names))
+    copies = {}
+    for s in names:
+        target = min(most * total[s], top * weight[s])
+        long = {i: size[i].bit_length() + 1 for i in of[s]}
+        each = level(target, lambda x, s=s, long=long: sum(size[i] * min(most, x * long[i]) for i in of[s]))
+        want = {i: min(most, each * long[i]) if total[s] else 0 for i in of[s]}
+        rank = {}
+        for i in of[s]:
+            u = (int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            p = want[i] - int(want[i])
+            copies[i] = int(want[i])
+            if 0 < p:
+                rank[i] = (u / (1 - u)) / (p / (1 - p))
+        rest = int(target - sum(size[i] * copies[i] for i in of[s]) + 1e-6)
+        line = sorted(rank, key=rank.get)
+        while line and size[line[0]] <= rest:
+            rest -= size[line[0]]
+            copies[line.pop(0)] += 1
+        best = min(line, key=lambda i: abs(size[i] - rest), default=None)
+        if best is not None and abs(size[best] - rest) < rest:
+            copies[best] += 1
+    return copies
+
+
+def test_mixing_equals_loops(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join("w" for _ in range(int(r.paretovariate(0.7)) % 5000)) or None, r.choice(["a", "a", "a", "b", "c", None])) for i in range(600)]
+    rows += [(1000 + i, None, "without words") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x.copies for x in mixing.mix(docs).collect()}
+    assert got == brute_mix(rows) and set(got.values()) == {0, 1, 2}
+    part = {s for i, t, s in rows if t and got[i] < 2}  # other sources stop at two copies of everything
+    drawn = [(got[i], len((t or "").split())) for i, t, s in rows if s in part]
+    mean = lambda x: sum(x) / len(x)
+    assert mean([c for c, n in drawn if n >= 32]) > mean([c for c, n in drawn if n <= 2])  # the longer, the likelier
+
+
 def test_water_filling(spark):
     s = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10), (None, 10)], "source string, source_size long")
     t = {x.source: (x.weight, x.target) for x in mixing.targets(s).collect()}
