@@ -89,7 +89,7 @@ def parse_genotype(g: Column) -> Column:
     clean = F.upper(F.trim(g))
     bare = F.regexp_replace(clean, "[/|]", "")
     parts = F.when(clean.rlike("[/|]"), F.split(clean, "[/|]")).when(clean.rlike("^[ACGT]{2}$"), F.array(F.substring(clean, 1, 1), F.substring(clean, 2, 1)))
-    return F.when(~bare.isin(*NO_CALL) & (F.size(parts) == 2) & F.forall(parts, is_allele), parts)
+    return F.when(~bare.isin(*NO_CALL) & (F.size(parts) == 2) & is_allele(F.get(parts, F.lit(0))) & is_allele(F.get(parts, F.lit(1))), parts)
 
 
 def genotype_group(g: Column) -> Column:
@@ -113,14 +113,19 @@ def is_hard_call(d: Column) -> Column:
 def count_allele(g: Column, counted: Column, other: Column, strand_flip: bool = True, allow_ambiguous: bool = True) -> Column:
     """How often the counted allele is called: on the strand as written if both calls fit, else on the other strand."""
     calls = parse_genotype(g)
-    fits = lambda a, b: F.forall(calls, lambda x: (x == a) | (x == b))
-    times = lambda a: F.size(F.filter(calls, lambda x: x == a))
-    sound = is_allele(counted) & is_allele(other) & (counted != other)
+    return count_called(F.get(calls, F.lit(0)), F.get(calls, F.lit(1)), counted, other, strand_flip, allow_ambiguous)
+
+
+def count_called(first: Column, second: Column, counted: Column, other: Column, strand_flip: bool = True, allow_ambiguous: bool = True) -> Column:
+    """count_allele() of a call that is parsed already; both alleles are null where there is none."""
+    fits = lambda a, b: ((first == a) | (first == b)) & ((second == a) | (second == b))
+    times = lambda a: (first == a).cast("int") + (second == a).cast("int")
+    sound = first.isNotNull() & is_allele(counted) & is_allele(other) & (counted != other)
     if not allow_ambiguous:
         sound &= ~is_ambiguous(counted, other)
-    out = F.when(calls.isNotNull() & sound & fits(counted, other), times(counted))
+    out = F.when(sound & fits(counted, other), times(counted))
     if strand_flip:
-        out = out.when(calls.isNotNull() & sound & fits(complement(counted), complement(other)), times(complement(counted)))
+        out = out.when(sound & fits(complement(counted), complement(other)), times(complement(counted)))
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip_dosage, count_allele, genotype_group, hardy_weinberg_variance, id_key, locus_key, zygosity_dosage
+from ..functions.exprs import clip_dosage, count_called, genotype_group, hardy_weinberg_variance, id_key, locus_key, parse_genotype, zygosity_dosage
 from ..functions.sizes import small
 
 
@@ -19,26 +19,30 @@ def panel_score(dosages: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def _keys(*keys: tuple[int, Column]) -> Column:
-    """The keys that aren't null as (way, key) rows."""
-    return F.explode(F.filter(F.array(*(F.struct(F.lit(w).alias("way"), k.alias("key")) for w, k in keys)), lambda x: x["key"].isNotNull()))
+    """The keys as (way, key) rows; null ones meet nothing."""
+    return F.explode(F.array(*(F.struct(F.lit(w).alias("way"), k.alias("key")) for w, k in keys)))
 
 
 def _matched(calls: DataFrame, terms: DataFrame) -> DataFrame:
-    """A row for each call and term it could be of: the user, the term's columns, genotype, locus and the way, 0 by id and 1 by
-    locus. The keys of the terms are broadcast where they are few, so that calls stay where they are."""
+    """A row for each call and term it could be of: the user, the term's columns, genotype, its alleles first and second, hashes
+    of genotype and locus, and the way, 0 by id and 1 by locus. Calls are parsed once, before they are matched. The keys of
+    the terms are broadcast where they are few, so that calls stay where they are."""
     locus = F.when(F.col("chromosome").isNotNull() & F.col("position").isNotNull(), locus_key(F.col("chromosome"), F.col("position")))
-    c = calls.select("user_id", "genotype", locus.alias("locus"), _keys((0, F.lower("raw_id")), (1, locus)).alias("k")).select("user_id", "genotype", "locus", "k.*")
+    alleles = parse_genotype(F.col("genotype"))
+    c = calls.select("user_id", "raw_id", "genotype", locus.alias("locus"), alleles.alias("alleles"), F.xxhash64(genotype_group(F.col("genotype"))).alias("_g"))
+    parsed = (F.get("alleles", F.lit(0)).alias("first"), F.get("alleles", F.lit(1)).alias("second"), F.when(F.col("locus").isNotNull(), F.xxhash64("locus")).alias("_l"))
+    c = c.select("user_id", "genotype", "_g", *parsed, _keys((0, F.lower("raw_id")), (1, F.col("locus"))).alias("k")).select("user_id", "genotype", "_g", "first", "second", "_l", "k.*")
     by_id = F.when(F.contains("variant_id", F.lit(":")), id_key(F.col("variant_id")))
     own = [x for x in ("effect_allele", "other_allele") if x in terms.columns]
     full = F.lower(F.concat_ws(":", locus, "other_allele", "effect_allele")) if len(own) == 2 else F.lit(None).cast("string")
-    t = terms.select("prs_row", *own, _keys((0, F.lower("variant_id")), (0, full), (1, locus), (1, by_id)).alias("k")).select("prs_row", *own, "k.*").distinct()
+    t = terms.select("prs_row", *own, _keys((0, F.lower("variant_id")), (0, full), (1, locus), (1, by_id)).alias("k")).select("prs_row", *own, "k.*").filter("key is not null").distinct()
     return c.join(small(t), ["way", "key"])
 
 
 def _decided(matched: DataFrame, value: Column, name: str) -> DataFrame:
     """(user_id, prs_row, same, name): of each user and term whether the calls of the way chosen agree in alleles and locus, and
     if so the least value. Alleles and loci are compared by 64-bit hashes, so that the sums stay in fixed-width rows."""
-    d = matched.withColumns({"_g": F.xxhash64(genotype_group(F.col("genotype"))), "_l": F.when(F.col("locus").isNotNull(), F.xxhash64("locus")), "_v": value})
+    d = matched.select("user_id", "prs_row", "way", "_g", "_l", value.alias("_v"))
     ways = []
     for w in (0, 1):
         here = F.col("way") == w
@@ -69,7 +73,7 @@ def resolve_uploads(calls: DataFrame, terms: DataFrame, every: bool = False) ->
 def counted_effects(calls: DataFrame, terms: DataFrame, allow_ambiguous: bool = True) -> DataFrame:
     """(user_id, prs_row, n): how often each user has the effect allele of terms(prs_row, variant_id, chromosome, position,
     effect_allele, other_allele); what isn't found, conflicts, isn't called or doesn't fit has no row."""
-    n = count_allele(F.col("genotype"), F.col("effect_allele"), F.col("other_allele"), allow_ambiguous=allow_ambiguous)
+    n = count_called(F.col("first"), F.col("second"), F.col("effect_allele"), F.col("other_allele"), allow_ambiguous=allow_ambiguous)
     return _decided(_matched(calls, terms.filter("other_allele is not null")), n, "n").filter("n is not null").select("user_id", "prs_row", "n")
 
 

@@ -57,10 +57,14 @@ WITH = "WITH " + ",\n".join(f"{name} AS ({sql.format(**NAMES)})" for name, sql i
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The views, and panel: a row a variant with d, its samples' dosages in the order of samples(at, sample_idx)."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("part", "supplier")}
+    n = spark.sparkContext.defaultParallelism
     for name, sql in VIEWS.items():
-        t[name] = spark.sql(sql, **{k: v for k, v in t.items() if f"{{{k}}}" in sql})
+        used = {k: v for k, v in t.items() if f"{{{k}}}" in sql}
+        if name == "dosages":  # either side may be streamed, and one small file would make all cells in one task
+            used = {k: v.repartition(n) for k, v in used.items()}
+        t[name] = spark.sql(sql, **used)
     ids = "(SELECT array_sort(collect_list(s_suppkey)) AS ids FROM {supplier})"
     cells = f"SELECT m.*, transform(ids, sample_idx -> CAST({CELL} AS FLOAT)) AS d FROM {{panel_meta}} m CROSS JOIN {ids} s"
-    t["panel"] = spark.sql(cells, panel_meta=t["panel_meta"].repartition(spark.sparkContext.defaultParallelism), supplier=t["supplier"])
+    t["panel"] = spark.sql(cells, panel_meta=t["panel_meta"].repartition(n), supplier=t["supplier"])
     t["samples"] = spark.sql(f"SELECT posexplode(ids) AS (at, sample_idx) FROM {ids}", supplier=t["supplier"])
     return t
