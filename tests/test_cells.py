@@ -88,7 +88,7 @@ def test_estimates_equal_loops(spark, t, panel):
         np.testing.assert_allclose([got[i] for i in range(len(want))], want, atol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["cross_products", "enet_single_predictor", "hwe_residual_variance", "imputation_quality"])
+@pytest.mark.parametrize("name", ["cross_products", "enet_single_predictor", "hwe_residual_variance", "imputation_quality", "impute_training_summary"])
 def test_no_cell_is_computed_in_a_plan(spark, name):
     """These evaluated the SQL of every cell in the JVM, lambda by lambda, once or more; the time limits were passed at 6 or 60 times sf0.1."""
     assert "7919" not in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
