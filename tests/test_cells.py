@@ -173,7 +173,7 @@ def test_calls_are_counted_for_products(spark, table):
         np.testing.assert_allclose([r.product, r.ys, r.yq, r.zs, r.zq], [z[t] @ z[p], z[t].sum(), z[t] @ z[t], z[p].sum(), z[p] @ z[p]], rtol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality"])
+@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality", "quality_tiers"])
 def test_queries_read_bits_alone(spark, monkeypatch, name):
     """These made a double of every cell that they read, twice of those that were filled and counted."""
 
