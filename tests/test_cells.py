@@ -180,7 +180,7 @@ def test_calls_are_counted_for_frequencies(spark, table):
     assert got == {i: (n[i], total[i] / max(n[i], 1)) for i in range(6)}
 
 
-@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality", "quality_tiers", "truncated_variance"])
+@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality", "quality_tiers", "truncated_variance", "coefficients_long"])
 def test_queries_read_bits_alone(spark, monkeypatch, name):
     """These made a double of every cell that they read, twice of those that were filled and counted."""
 
