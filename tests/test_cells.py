@@ -201,7 +201,7 @@ def test_estimates_unpack_calls(spark, table):
     np.testing.assert_allclose([got[i] for i in range(70)], want, atol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality", "quality_tiers", "truncated_variance", "coefficients_long", "panel_observed_score", "calibration_params"])
+@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality", "quality_tiers", "truncated_variance", "coefficients_long", "panel_observed_score", "calibration_params", "prs_metrics"])
 def test_queries_read_bits_alone(spark, monkeypatch, name):
     """These made a double of every cell that they read, twice of those that were filled and counted."""
 
