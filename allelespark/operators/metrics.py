@@ -126,9 +126,9 @@ def agreement(scores: DataFrame) -> DataFrame:
 def concordance(scores: DataFrame, percents=(1, 5, 10)) -> DataFrame:
     """(percent, top, bottom): of the samples in the estimated top (bottom) percent, the share that is also in the true one."""
     d = valid(scores)
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    each = [F.struct(F.lit(float(p)).alias("percent"), q("truth", 1 - p / 100).alias("th"), q("truth", p / 100).alias("tl"), q("estimate", 1 - p / 100).alias("eh"), q("estimate", p / 100).alias("el")) for p in percents]
-    d = d.join(F.broadcast(d.agg(F.array(*each).alias("e")))).select("truth", "estimate", F.inline("e"))
+    cuts = d.agg(*(F.percentile(c, F.array(*(F.lit(x) for p in percents for x in (1 - p / 100, p / 100)))).alias(c) for c in ("truth", "estimate")))
+    each = [F.struct(F.lit(float(p)).alias("percent"), *(F.get(c, F.lit(2 * i + low)).alias(f"{c[0]}{'hl'[low]}") for c in ("truth", "estimate") for low in (0, 1))) for i, p in enumerate(percents)]
+    d = d.join(F.broadcast(cuts.select(F.array(*each).alias("e")))).select("truth", "estimate", F.inline("e"))
     both = lambda a, b: F.count(F.when(a & b, 1)) / F.count(F.when(b, 1))
     top, bottom = both(F.col("truth") >= F.col("th"), F.col("estimate") >= F.col("eh")), both(F.col("truth") <= F.col("tl"), F.col("estimate") <= F.col("el"))
     return d.groupBy("percent").agg(top.alias("top"), bottom.alias("bottom"))

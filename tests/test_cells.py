@@ -201,7 +201,17 @@ def test_estimates_unpack_calls(spark, table):
     np.testing.assert_allclose([got[i] for i in range(70)], want, atol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality", "quality_tiers", "truncated_variance", "coefficients_long", "panel_observed_score", "calibration_params", "prs_metrics"])
+@pytest.mark.parametrize("name,maps", [("percentile_concordance", 2)])
+def test_each_score_is_counted_once_for_its_percentiles(spark, name, maps):
+    """A map of all scores was kept for each percentile, 12 and 8 of them in one task."""
+    from allelespark.operators import metrics
+
+    scores = spark.range(50).selectExpr("id * 7 % 50 / 9.0D as truth", "id * 11 % 50 / 7.0D as estimate")
+    d = {"percentile_concordance": metrics.concordance, "quintile_kappa": metrics.quintile_kappa}[name](scores)
+    assert len(set(re.findall(r"percentile\(\w+#\d+L?, [^)]*\)", d._jdf.queryExecution().analyzed().toString()))) == maps
+
+
+@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality", "quality_tiers", "truncated_variance", "coefficients_long", "panel_observed_score", "calibration_params", "prs_metrics", "percentile_concordance"])
 def test_queries_read_bits_alone(spark, monkeypatch, name):
     """These made a double of every cell that they read, twice of those that were filled and counted."""
 
