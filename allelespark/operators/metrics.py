@@ -138,13 +138,12 @@ def quintile_kappa(scores: DataFrame) -> DataFrame:
     """One row: Cohen's kappa of the quintiles that the interior percentiles of each score cut."""
     scores = valid(scores)
     cuts = [0.2, 0.4, 0.6, 0.8]
-    edges = scores.agg(*(F.percentile(c, F.lit(p)).alias(f"{c[0]}{i}") for c in ("truth", "estimate") for i, p in enumerate(cuts)))
-    bin_ = lambda c: sum(((F.col(c) >= F.col(f"{c[0]}{i}")).cast("int") for i in range(4)), F.lit(0))
+    edges = scores.agg(*(F.percentile(c, F.array(*map(F.lit, cuts))).alias(f"{c}_cuts") for c in ("truth", "estimate")))
+    bin_ = lambda c: sum(((F.col(c) >= F.get(f"{c}_cuts", F.lit(i))).cast("int") for i in range(4)), F.lit(0))
     d = scores.join(F.broadcast(edges)).select(bin_("truth").alias("a"), bin_("estimate").alias("b"))
-    n = d.count()
-    rows = d.groupBy().agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("po"), *(F.avg((F.col(c) == k).cast("double")).alias(f"{c}{k}") for c in "ab" for k in range(5)))
+    rows = d.groupBy().agg(F.count("*").cast("long").alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("po"), *(F.avg((F.col(c) == k).cast("double")).alias(f"{c}{k}") for c in "ab" for k in range(5)))
     pe = sum((F.col(f"a{k}") * F.col(f"b{k}") for k in range(5)), F.lit(0.0))
-    return rows.select(F.when(pe == 1, F.when(F.col("po") == 1, 1.0).otherwise(0.0)).otherwise((F.col("po") - pe) / (1 - pe)).alias("kappa"), F.lit(n).cast("long").alias("n"))
+    return rows.select(F.when(pe == 1, F.when(F.col("po") == 1, 1.0).otherwise(0.0)).otherwise((F.col("po") - pe) / (1 - pe)).alias("kappa"), "n")
 
 
 def stratified_quotas(strata: DataFrame, n_target: int) -> DataFrame:

@@ -201,7 +201,7 @@ def test_estimates_unpack_calls(spark, table):
     np.testing.assert_allclose([got[i] for i in range(70)], want, atol=1e-12)
 
 
-@pytest.mark.parametrize("name,maps", [("percentile_concordance", 2)])
+@pytest.mark.parametrize("name,maps", [("percentile_concordance", 2), ("quintile_kappa", 2)])
 def test_each_score_is_counted_once_for_its_percentiles(spark, name, maps):
     """A map of all scores was kept for each percentile, 12 and 8 of them in one task."""
     from allelespark.operators import metrics
@@ -211,7 +211,17 @@ def test_each_score_is_counted_once_for_its_percentiles(spark, name, maps):
     assert len(set(re.findall(r"percentile\(\w+#\d+L?, [^)]*\)", d._jdf.queryExecution().analyzed().toString()))) == maps
 
 
-@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality", "quality_tiers", "truncated_variance", "coefficients_long", "panel_observed_score", "calibration_params", "prs_metrics", "percentile_concordance"])
+def test_kappa_runs_nothing_before_it_is_read(spark):
+    """quintile_kappa counted the samples in a job of its own when the plan was made."""
+    from allelespark.operators import metrics
+
+    ran = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    d = metrics.quintile_kappa(spark.range(50).selectExpr("id / 9.0D as truth", "id / 7.0D as estimate"))
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == ran
+    assert [tuple(r) for r in d.collect()] == [(1.0, 50)]
+
+
+@pytest.mark.parametrize("name", ["impute_training_summary", "imputation_quality", "quality_tiers", "truncated_variance", "coefficients_long", "panel_observed_score", "calibration_params", "prs_metrics", "percentile_concordance", "quintile_kappa"])
 def test_queries_read_bits_alone(spark, monkeypatch, name):
     """These made a double of every cell that they read, twice of those that were filled and counted."""
 
