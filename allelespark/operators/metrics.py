@@ -109,12 +109,36 @@ def average_rank(d: DataFrame, column: str, parts: int = 64) -> DataFrame:
     return v.join(F.broadcast(below), "part").select(column, (F.col("below") + before - F.col("k") + (F.col("k") + 1) / 2).alias("rank"))
 
 
+def ranked(d: DataFrame, *columns: str, parts: int = 64) -> DataFrame:
+    """d with rank_ of each column, ties sharing the mean of their ranks; columns hold no nulls. d is read three times.
+
+    Edges from approximate quantiles cut the values into buckets, those between two edges and those equal to one. Ranks are the
+    counts of the buckets below, which one small job gives for all columns, and the place in a window over the own bucket. A
+    value of many rows is an edge: its rows share one rank, known from the counts, and are dealt over many windows.
+    """
+    at, n = [F.lit(i / parts) for i in range(1, parts)], 2 * parts - 1
+    edges = d.agg(*(F.array_distinct(F.percentile_approx(c, F.array(*at), F.lit(1000))).alias(f"_e{i}") for i, c in enumerate(columns)))
+    bucket = lambda i, c: 2 * F.size(F.filter(f"_e{i}", lambda e: e < F.col(c))) + F.array_contains(f"_e{i}", F.col(c)).cast("int")
+    b = d.join(F.broadcast(edges)).select(*d.columns, *(bucket(i, c).alias(f"_b{i}") for i, c in enumerate(columns)))
+    counts = b.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_b{i}").alias("b")) for i in range(len(columns))))).alias("x")).groupBy("x.i", "x.b").agg(F.count("*").alias("n"))
+    all_ = F.collect_list(F.struct("i", "b", "n"))
+    total = lambda i, ok: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.aggregate(F.filter("_a", lambda x: (x["i"] == i) & ok(x["b"], k)), F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    below = counts.agg(all_.alias("_a")).select(*(f for i in range(len(columns)) for f in (total(i, lambda b, k: b < k).alias(f"_l{i}"), total(i, lambda b, k: b == k).alias(f"_n{i}"))))
+    out, names = b.join(F.broadcast(below)), [*d.columns]
+    for i, c in enumerate(columns):
+        of, alone = F.col(f"_b{i}"), F.col(f"_b{i}") % 2 == 1
+        w = Window.partitionBy(f"_b{i}", "_s").orderBy(c)
+        upto, ties = (F.count("*").over(w.rangeBetween(a, Window.currentRow)) for a in (Window.unboundedPreceding, Window.currentRow))
+        place = F.when(alone, (F.get(f"_n{i}", of) + 1) / 2).otherwise(upto - ties + (ties + 1) / 2)
+        names.append(f"rank_{c}")
+        out = out.withColumn("_s", F.when(alone, F.monotonically_increasing_id() % parts).otherwise(0)).withColumn(names[-1], F.get(f"_l{i}", of) + place)
+    return out.select(*names)
+
+
 def agreement(scores: DataFrame) -> DataFrame:
     """One row: Pearson r and its square, MAE, RMSE, Spearman's rho by average ranks, mean and spread of truth - estimate, slope
     and intercept of truth on estimate, and the number of samples; all but that null below 3 samples."""
-    d = whole = valid(scores).persist()  # a row a sample, read four times
-    for c in ("truth", "estimate"):
-        d = d.join(average_rank(whole, c).withColumnRenamed("rank", f"rank_{c}"), c)
+    d = ranked(valid(scores).persist(), "truth", "estimate")  # a row a sample, read three times
     error = F.col("truth") - F.col("estimate")
     out = d.agg(
         F.count("*").cast("long").alias("n"), F.regr_slope("truth", "estimate").alias("slope"), F.regr_intercept("truth", "estimate").alias("intercept"), F.corr("estimate", "truth").alias("pearson"), F.pow(F.corr("estimate", "truth"), F.lit(2)).alias("r2"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error**2)).alias("rmse"),

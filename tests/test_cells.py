@@ -245,3 +245,68 @@ def test_queries_read_bits_alone(spark, monkeypatch, name):
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert got.count() > 0
+
+
+@pytest.mark.parametrize("bits", [True, False])
+def test_nearest_products_equal_the_join(spark, bits):
+    """Queries on _single() joined and ranked the pairs by four shuffles before their cells were read; ties by id, the variant
+    itself, other chromosomes, the window's and the tile's edge, places that are null, tiles over several batches."""
+    rng = np.random.default_rng(5)
+    z = rng.integers(0, 3, (60, 70)).astype(float)
+    z[rng.random(z.shape) < 0.1] = np.nan
+    places = [(i, str(i % 3), int(x)) for i, x in enumerate(rng.integers(0, 40, 60) * 5_000 + rng.choice([0, 490_000], 60))] + [(0, None, 5), (1, "1", None), (None, "1", 5)]
+    v = spark.createDataFrame(places, "variant_idx long, chromosome string, position long")
+    targets, predictors = v.filter("variant_idx is null or variant_idx % 4 > 0"), v.filter("variant_idx is null or variant_idx % 4 <> 2")
+    table = calls(z)
+    own = table if bits else lambda ids: z[np.asarray(ids, np.int64)]
+    want = sorted(map(tuple, cells.cross_products(ranges.nearest(ranges.window_pairs(targets, predictors, 12_500), 1), own).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted(map(tuple, cells.nearest_products(targets, predictors, 12_500, own).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [g[:3] for g in got] == [w[:3] for w in want] and 20 < len(got) < 60
+    np.testing.assert_allclose(np.array(got), np.array(want), rtol=1e-12)
+
+
+@pytest.mark.parametrize("bits", [True, False])
+def test_scores_of_single_models_equal_loops(spark, table, bits):
+    """prs_metrics unpacked every call of predictors and targets to doubles, each in a pass of its own."""
+    z = cells.fill(table.copy())
+    rows = [(0, 2, 0.7, 0.1, 0.5), (1, 2, -1.4, 2.5, -0.2), (3, 1, 0.9, 1.5, 1.0), (5, 0, 3.0, -1.0, 0.3), (4, 4, 0.2, 0.3, -1.5), (0, 5, -0.6, 0.4, 0.7)]
+    m = spark.createDataFrame(rows, "target_idx long, predictor_idx long, coefficient double, intercept double, beta double")
+    est = sum(beta * np.clip(b + c * z[p], 0, 2) for _, p, c, b, beta in rows)
+    true = sum(beta * z[t] for t, _, _, _, beta in rows)
+    own = calls(table) if bits else lambda ids: table[np.asarray(ids, np.int64)]
+    got = {r["at"]: (r.estimate, r.truth) for r in cells.single_scores(m, own).collect()}
+    np.testing.assert_allclose([got[i] for i in range(70)], np.stack([est, true], 1), atol=1e-12)
+    assert cells.single_scores(m.limit(0), own).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 63, 65, 2 * cells.SPAN + 3])
+def test_values_are_looked_up_by_call(n):
+    c, ids = Cells(np.arange(n) * 3), np.array([0, 5, 7, 52, 119_999])
+    rng, z = np.random.default_rng(1), c(ids)
+    for k in (0, 1, 4, 5):
+        v = rng.normal(size=(k, 4))
+        want = v[np.arange(k)[:, None], np.where(np.isnan(z[:k]), 3, z[:k]).astype(int)].sum(0)
+        np.testing.assert_allclose(c.bits(ids[:k]).looked_up(v), want, atol=1e-12)
+
+
+def test_ranks_cross_no_join_by_value(spark):
+    """prs_metrics counted, ranked and joined the values of each score by itself; its plan alone took most of the driver's memory."""
+    from allelespark.operators import metrics
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=700), rng.integers(0, 300, 700) / 7.0
+    x[:300], x[300:340], y[:200] = -0.0, 0.0, np.inf
+    d = spark.createDataFrame([*zip(x.tolist(), y.tolist(), strict=True)], "truth double, estimate double").repartition(5)
+    rank = lambda v: np.array([(v < q).sum() + ((v == q).sum() + 1) / 2 for q in v])
+    r = metrics.ranked(d, "truth", "estimate", parts=8)
+    got = sorted(map(tuple, r.collect()))
+    want = sorted(zip(x.tolist(), y.tolist(), rank(x).tolist(), rank(y).tolist(), strict=True))
+    assert sorted(g[2:] for g in got) == sorted(w[2:] for w in want) and [g[:2] for g in got] == [w[:2] for w in want]
+    assert metrics.ranked(d.limit(0), "truth", "estimate").collect() == []
+    plan = metrics.agreement(d)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and not re.search(r"BroadcastHashJoin \[(knownfloatingpointnormalized\(normalizenanandzero\()?(truth|estimate)", plan)
+    assert re.search(r"rank_truth", plan)
