@@ -18,10 +18,12 @@ FORMATS = ("json", "arrow", "parquet", "csv")
 
 def coefficient_table(coefficients: DataFrame, variants: DataFrame, units: DataFrame) -> DataFrame:
     """COEFFICIENTS for coefficients(unit_id, predictor_idx, coefficient), variants(variant_idx, variant_id, chromosome,
-    position, ref_allele, alt_allele, allele_frequency) and units(unit_id, variant_id)."""
+    position, ref_allele, alt_allele, allele_frequency) and units(unit_id, variant_id). Coefficients may bring their
+    predictor_allele_frequency, then variants need no allele_frequency."""
+    own = [F.col("allele_frequency").alias("predictor_allele_frequency")] if "predictor_allele_frequency" not in coefficients.columns else []
     p = variants.select(
         F.col("variant_idx").alias("predictor_idx"), F.col("variant_id").alias("predictor_variant_id"), F.col("chromosome").alias("predictor_chromosome"), F.col("position").alias("predictor_position"),
-        F.col("alt_allele").alias("predictor_counted_allele"), F.col("ref_allele").alias("predictor_other_allele"), F.col("allele_frequency").alias("predictor_allele_frequency"),
+        F.col("alt_allele").alias("predictor_counted_allele"), F.col("ref_allele").alias("predictor_other_allele"), *own,
     )
     return coefficients.join(units.withColumnRenamed("variant_id", "target_variant_id"), "unit_id").join(p, "predictor_idx").select(*COEFFICIENTS)
 

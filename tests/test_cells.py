@@ -269,6 +269,12 @@ def test_nearest_products_equal_the_join(spark, bits):
     np.testing.assert_allclose(np.array(got), np.array(want), rtol=1e-12)
 
 
+def test_a_predictors_frequency_comes_with_its_products(spark):
+    """coefficients_long read the cells of all variants again for the frequencies of the predictors, and joined them."""
+    plan = e.queries()["coefficients_long"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("Join") == 2
+
+
 @pytest.mark.parametrize("bits", [True, False])
 def test_scores_of_single_models_equal_loops(spark, table, bits):
     """prs_metrics unpacked every call of predictors and targets to doubles, each in a pass of its own."""
