@@ -273,7 +273,7 @@ def shuffles(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") + df._jdf.queryExecution().executedPlan().toString().count("Exchange SinglePartition")
 
 
-@pytest.mark.parametrize("name,most", [("imputation_quality", 2)])
+@pytest.mark.parametrize("name,most", [("quality_tiers", 2), ("imputation_quality", 2)])
 def test_fits_cross_one_shuffle(spark, name, most):
     """Their pairs crossed five shuffles and their fits were kept in memory, though they are read once."""
     df = e.queries()[name](spark, SF)
